@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from recordloom.llm import quality_rules
+from recordloom.llm import bpe, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op3_token_files": token_files.query,
+    "op6_bpe": bpe.query,
+    "op7_token_counts": token_counts.query,
     "quality_rule_ablation": quality_rules.ablation_query,
 }
 
