@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from recordloom.llm import bpe, quality_rules, token_counts, token_files
+from recordloom.llm import bpe, minhash_dedup, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op3_token_files": token_files.query,
     "op6_bpe": bpe.query,
     "op7_token_counts": token_counts.query,
+    "op10_minhash_dedup": minhash_dedup.query,
     "quality_rule_ablation": quality_rules.ablation_query,
 }
 
