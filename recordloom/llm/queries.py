@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from recordloom.llm import bpe, minhash_dedup, quality_rules, token_counts, token_files
+from recordloom.llm import bpe, decontamination, minhash_dedup, quality_rules, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_url_filter": url_filter.query,
     "op3_token_files": token_files.query,
+    "op4_decontamination": decontamination.query,
     "op6_bpe": bpe.query,
     "op7_token_counts": token_counts.query,
     "op10_minhash_dedup": minhash_dedup.query,
@@ -15,5 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.SQL,
+    "op2_url_filter": url_filter.SQL,
     "quality_rule_ablation": quality_rules.ABLATION_SQL,
 }
