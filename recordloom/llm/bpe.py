@@ -200,16 +200,21 @@ def load(path: str) -> Bpe:
 _SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
+ENCODED = T.StructType([_SCHEMA["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+
+
 def encode(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id and the ids of every whole text."""
+    """doc_id, n_tokens, ids and whether they decode to the text again, for every whole text."""
 
     def batch(b):
-        texts, ids, bpe = [t or "" for t in b.column("text").to_pylist()], [], load(path)
+        texts, rows, bpe = [t or "" for t in b.column("text").to_pylist()], [], load(path)
         for lo, hi in blocks(texts):
-            ids += [np.frombuffer(b"".join(v[0] for v in vs), bpe.dtype).astype(np.int32) for vs in bpe.table.values(texts[lo:hi])]
-        return {"doc_id": b.column("doc_id"), "ids": ids}
+            for text, values in zip(texts[lo:hi], bpe.table.values(texts[lo:hi]), strict=True):
+                ids = np.frombuffer(b"".join([v[0] for v in values]), bpe.dtype).astype(np.int32)
+                rows.append((len(ids), ids, bpe.decode(ids).tobytes() == text.encode()))
+        return {"doc_id": b.column("doc_id")} | dict(zip(("n_tokens", "ids", "round_trip"), zip(*rows, strict=True), strict=True))
 
-    return map_batches(need(documents, "doc_id", "text"), batch, T.StructType([_SCHEMA["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return map_batches(need(documents, "doc_id", "text"), batch, ENCODED)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

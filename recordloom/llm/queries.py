@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordloom.llm import bpe, decontamination, minhash_dedup, quality_rules, quality_vote, token_counts, token_files, url_filter, warc
+from recordloom.llm import bpe, decontamination, minhash_dedup, quality_rules, quality_vote, secret_scan, token_counts, token_files, url_filter, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc": warc.query,
     "op6_bpe": bpe.query,
     "op7_token_counts": token_counts.query,
+    "op8_secret_scan": secret_scan.query,
     "op9_quality_vote": quality_vote.query,
     "op10_minhash_dedup": minhash_dedup.query,
     "quality_rule_ablation": quality_rules.ablation_query,
