@@ -29,7 +29,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 50"),
     ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "100 * n_symbols > 30 * n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "100 * n_dup_lines > 60 * n_lines"),
     ("word_length", "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)"),
     ("shouting", "100 * n_upper > 40 * n_letters"),
 )
@@ -158,7 +158,7 @@ def _bits(m: tuple[int, ...]) -> int:
         n_words < 50,
         100 * n_rep > 50 * n_words,
         100 * n_symbols > 30 * n_words,
-        100 * n_dup > 30 * n_lines,
+        100 * n_dup > 60 * n_lines,
         n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words),
         100 * n_upper > 40 * n_letters,
     )
@@ -191,7 +191,7 @@ m AS (SELECT words.doc_id, len(w)::BIGINT n_words, length(regexp_replace(t, '[\x
   coalesce(dup.a, 0) n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) n_upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) n_letters
   FROM words LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id)),
 ledger AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-  + CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+  + CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 60 * n_lines THEN 8 ELSE 0 END
   + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) THEN 16 ELSE 0 END
   + CASE WHEN 100 * n_upper > 40 * n_letters THEN 32 ELSE 0 END)::BIGINT fail_bits FROM m)
 """
