@@ -145,3 +145,38 @@ class Config:
         if not low <= made <= high:
             raise ValueError(f"{key}: {value} lies outside {low} to {high}")
         return replace(self, **{key: made})
+
+
+def pending(files: DataFrame) -> DataFrame:
+    """n, bytes of incoming files (path, length): no dot files, descriptions or files set aside."""
+    name = F.element_at(F.split("path", "/"), -1)
+    aside = F.exists(F.split(F.lower("path"), "/"), lambda p: p.isin("_failed", "_skipped"))
+    kept = files.where(~F.startswith(name, F.lit(".")) & ~F.endswith(F.lower(name), F.lit(".yml")) & ~aside)
+    return kept.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def morgue_path(entity_id: Column, document_type: Column, filename: Column) -> Column:
+    """Where a document's file belongs once it is ingested."""
+    return F.concat_ws("/", F.lit("morgue"), tx.slug(entity_id), tx.slug(document_type), filename)
+
+
+def refresh_entity(entities: DataFrame, events: DataFrame, entity_id: str, summary: str | None, new_events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entity with another summary (kept where none is given), its events replaced and not merged."""
+    mine = F.col("id") == entity_id
+    out = entities.withColumn("summary", F.when(mine & F.lit(summary is not None), F.lit(summary)).otherwise(F.col("summary")))
+    return out, events.where(F.col("entity_id") != entity_id).unionByName(new_events)
+
+
+def add_analysis(analysis: DataFrame, found: DataFrame, today: str) -> DataFrame:
+    """analysis (entity_id, date, line) with a dated, linked line for each finding (entity_id, note_path, title, text)."""
+    line = F.concat(F.lit(f"*{today}, via "), tx.wiki_link(F.col("note_path"), F.col("title")), F.lit(":* "), F.col("text"))
+    return analysis.unionByName(found.where(F.coalesce("text", F.lit("")) != "").select("entity_id", F.lit(today).alias("date"), line.alias("line")))
+
+
+def briefing(**parts: DataFrame) -> DataFrame:
+    """part, n for each table of a batch's briefing (new and updated entities, alerts, contradictions, ...)."""
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import fingerprint as fp
 from recordloom.functions import text as tx
-from recordloom.operators import audit, extraction, graph, lifecycle, render, sections, similarity, timeline, vectors
+from recordloom.operators import ask, audit, extraction, flags, graph, lifecycle, render, sections, similarity, timeline, vectors
 from recordloom.plans import world as w
 from recordloom.session import Workspace, table
 from recordloom.streaming import watch
@@ -550,3 +550,62 @@ def entity_notes(spark, d):
     notes = render.entity_notes(rows, none, lines, none, spark.createDataFrame([], "id string, body string"))
     return notes.select("id", F.md5("body").alias("note_md5"))
 
+
+
+# ---- questions, red flags, briefing
+
+
+@query("ask_lookup", f"WITH {w.ENTITIES} SELECT id, type FROM entities WHERE lower(name) = 'supplier#000000003' OR lower(replace(name, '#', '')) = 'supplier000000003'")
+def ask_lookup(spark, d):
+    return ask.lookup(w.entities(spark, d), "SUPPLIER#000000003").select("id", "type")
+
+
+@query("ask_roles", f"WITH {w.ROLES} SELECT src_id, relationship, target_id FROM roles WHERE (src_id = 'S3' OR target_id = 'S3') AND lower(relationship) = 'ordered from'")
+def ask_roles(spark, d):
+    return ask.roles_of(w.roles(spark, d), "S3", "ordered From")
+
+
+@query("ask_sharing", f"WITH {w.ROLES} SELECT DISTINCT src_id FROM roles WHERE target_id = 'N3' AND relationship = 'Located at'")
+def ask_sharing(spark, d):
+    return ask.sharing(w.roles(spark, d), "N3", "located at")
+
+
+@query("grep", "SELECT doc_id, instr(lower(text), 'token')::INT AS place, substr(text, greatest(instr(lower(text), 'token') - 40, 1)::BIGINT, 85) AS context FROM documents WHERE instr(lower(text), 'token') > 0")
+def grep(spark, d):
+    return ask.grep(table(spark, d, "documents"), "Token")
+
+
+@query("just_below", "SELECT o_orderkey FROM orders WHERE o_totalprice < 100000 AND o_totalprice >= 95000")
+def just_below(spark, d):
+    return table(spark, d, "orders").where(flags.just_below(F.col("o_totalprice"), 100_000.0)).select("o_orderkey")
+
+
+@query("cost_ratios", "SELECT l_orderkey, count(*) FILTER (WHERE l_discount / l_tax > 2) AS high, count(*) FILTER (WHERE l_discount / l_tax < 0.5) AS low FROM (SELECT l_orderkey, l_discount, nullif(l_tax, 0) AS l_tax FROM lineitem) GROUP BY 1")
+def cost_ratios(spark, d):
+    part, whole = F.col("l_discount"), F.col("l_tax")
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(flags.ratio_above(part, whole, 2.0)).alias("high"), F.count_if(flags.ratio_below(part, whole, 0.5)).alias("low"))
+
+
+@query("short_tenure", "SELECT o_custkey FROM (SELECT o_custkey, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders GROUP BY 1) WHERE b < a + INTERVAL 12 MONTH")
+def short_tenure(spark, d):
+    span = table(spark, d, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
+    return span.where(flags.short_tenure(F.col("a"), F.col("b"))).select("o_custkey")
+
+
+@query("cumulative_small", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM (SELECT o_custkey, o_totalprice, max(o_totalprice) OVER (PARTITION BY o_custkey) AS m FROM orders) WHERE o_totalprice <= 0.5 * m GROUP BY 1 HAVING sum(o_totalprice) > 1.0 * max(m)")
+def cumulative_small(spark, d):
+    orders = table(spark, d, "orders").select("o_custkey", "o_totalprice")
+    base = orders.groupBy("o_custkey").agg(F.max("o_totalprice").alias("base"))
+    return flags.cumulative_small(orders.join(base, "o_custkey"), "o_custkey", "o_totalprice", "base", 0.5, 1.0).withColumn("total", F.round("total", 2))
+
+
+@query("briefing", f"WITH {w.ENTITIES} SELECT 'new_entities' AS part, count(*) FILTER (WHERE ord % 4 = 0) AS n FROM entities UNION ALL SELECT 'updated_entities', count(*) FILTER (WHERE ord % 4 <> 0) FROM entities UNION ALL SELECT 'exact_duplicates', (SELECT count(*) FROM (SELECT 1 FROM documents GROUP BY text HAVING count(*) > 1))")
+def briefing(spark, d):
+    e = w.entities(spark, d)
+    new, updated = extraction.split_new(e, e.where("ord % 4 <> 0"))
+    return lifecycle.briefing(new_entities=new, updated_entities=updated, exact_duplicates=similarity.exact_groups(table(spark, d, "documents")))
+
+
+@query("storage", "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY source")
+def storage(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("bytes"))

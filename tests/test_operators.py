@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom import schemas
-from recordloom.operators import audit, extraction, graph, lifecycle, render, sections, similarity, timeline, vectors
+from recordloom.operators import ask, audit, extraction, flags, graph, lifecycle, render, sections, similarity, timeline, vectors
 from recordloom.operators.components import components
 from recordloom.session import Workspace
 
@@ -231,3 +231,35 @@ def test_notes(spark):
     kept = spark.createDataFrame([("a", "my own words")], "id string, body string")
     body = render.entity_notes(e, lines("entity_id", (2, "later"), (1, "sooner")), lines("src_id", (1, "- r")), lines("entity_id", (1, "an")), kept).first().body
     assert 'name: "Ann \\"X\\""' in body and body.index("sooner") < body.index("later") and body.endswith("## Notes\n\nmy own words")
+
+
+def test_questions(spark):
+    e = spark.createDataFrame([("a", "Ernst & Young"), ("b", "Bob")], "id string, name string")
+    aliases = spark.createDataFrame([("b", "Robert")], "id string, alias string")
+    assert [r.id for r in ask.lookup(e, "ERNST and young").collect()] == ["a"]
+    assert [r.id for r in ask.lookup(e, "robert", aliases).collect()] == ["b"]
+    docs = spark.createDataFrame([(1, "xx NEEDLE yy"), (2, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.place, r.context) for r in ask.grep(docs, "needle", around=3).collect()] == [(1, 4, "xx NEEDLE yy")]
+
+
+def test_flags(spark):
+    df = spark.createDataFrame([(40.0, 100.0, "2020-01-01", "2020-06-01"), (10.0, 0.0, "2020-01-01", "2021-01-01"), (None, 5.0, None, None)], "a double, b double, s string, e string")
+    a, b = F.col("a"), F.col("b")
+    got = df.select(flags.ratio_above(a, b, 0.35).alias("x"), flags.just_below(a, 41.0).alias("y"), flags.nominal(a).alias("z"), flags.short_tenure(F.to_date("s"), F.to_date("e")).alias("t")).collect()
+    assert [tuple(r) for r in got] == [(True, True, False, True), (False, False, True, False), (False, False, False, False)]
+    people, firms = spark.createDataFrame([("p", " 1 Main St")], "id string, address string"), spark.createDataFrame([("c", "1 main st "), ("d", "")], "id string, address string")
+    roles = spark.createDataFrame([("p", "c"), ("p", "d")], "src_id string, target_id string")
+    assert [(r.src_id, r.target_id) for r in flags.same_address(people, firms, roles).collect()] == [("p", "c")]
+
+
+def test_refresh_analysis_and_pending(spark):
+    e = spark.createDataFrame([("a", "old"), ("b", "keep")], "id string, summary string")
+    ev = spark.createDataFrame([("a", "2020"), ("b", "2021")], "entity_id string, date string")
+    e2, ev2 = lifecycle.refresh_entity(e, ev, "a", "new", spark.createDataFrame([("a", "2022")], "entity_id string, date string"))
+    assert sorted(map(tuple, e2.collect())) == [("a", "new"), ("b", "keep")] and sorted(map(tuple, ev2.collect())) == [("a", "2022"), ("b", "2021")]
+    none = spark.createDataFrame([], "entity_id string, date string, line string")
+    found = spark.createDataFrame([("a", "docs/x", "X", "said so"), ("a", "docs/y", "Y", "")], "entity_id string, note_path string, title string, text string")
+    assert [r.line for r in lifecycle.add_analysis(none, found, "2024-01-02").collect()] == ["*2024-01-02, via [[docs/x|X]]:* said so"]
+    files = spark.createDataFrame([("in/a.txt", 3), ("in/.x", 5), ("in/a.yml", 7), ("in/_FAILED/b.txt", 9), ("in/_skipped/c", 1)], "path string, length long")
+    assert tuple(lifecycle.pending(files).first()) == (1, 3)
+    assert spark.range(1).select(lifecycle.morgue_path(F.lit("Acme Corp"), F.lit("Annual Report"), F.lit("f.pdf"))).first()[0] == "morgue/acme-corp/annual-report/f.pdf"
