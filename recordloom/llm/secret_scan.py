@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.rows import need
+from recordloom.session import Workspace
 
 TREES, DEPTH, SEED = 24, 8, 5
 THRESHOLD = 0.5
@@ -178,12 +179,14 @@ def _window():
 
 def redact(documents: DataFrame, model: RandomForestClassificationModel, path: str | None = "source", threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
     """The documents, all columns and rows, with each secret replaced by ``mark``. Texts without a candidate pass as they
-    are; the others are parted, judged and joined again by their row."""
+    are; the others are parted, written once under a row number, judged, and joined again by it."""
+    workspace = Workspace(documents.sparkSession, "redaction")
     names = documents.columns
     clean = documents.where(~F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False)))
-    hidden = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names) if c != "text"], F.length(F.regexp_replace("text", "[^\u0001\u0002]", "")).alias("marks"), F.col("text").alias("old"))
+    hidden = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names) if c != "text"], F.col("text").alias("old"))
     where = F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")) if path and path in names else F.lit("")
     rows = documents.where(F.col("text").rlike(CANDIDATE)).select(F.monotonically_increasing_id().alias("row"), hidden.alias("held"), where.alias("path"), _pieces().alias("pieces"))
+    rows = workspace.keep(rows, "parted")
     others = rows.select("row", "held")
     judged = _scored(_candidates(rows.select("row", "path", "pieces"), keep_pieces=True), model)
     text = F.concat(F.when(F.col("at") == 0, F.lit("")).when(F.col("score") >= threshold, F.lit(mark)).otherwise(F.col("secret")), F.col("rest"))
