@@ -6,11 +6,15 @@
    the K - t + 1 rarest pairs of either (any fixed order of the pairs gives this; rarest first makes the lists short).
    Pairs that one class alone has are never posted, and a class with K - t + 1 of those posts nothing at all. Frequent
    pairs are thereby skipped wherever rarer ones suffice.
-3. Lists are merged around pivots. In each round the least member of a list meets the other members that are not yet
-   in its component; then it leaves the list, and lists whose members are one component leave too. A list of n near
-   copies thus costs n pairs, not n * n. Once the pairs that could still be made are about as many as the postings, one last
-   round makes them all. Pairs whose set sizes rule the similarity out are skipped.
-4. Candidates keep those with at least t coinciding coordinates, and each is then confirmed on the full sets.
+3. Lists are merged around pivots. In a round the most central member of a list (the one whose pairs are the most shared)
+   meets the other members that are not yet in its component; then it leaves the list, and lists whose members are one
+   component leave too. A list of n near copies thus costs n pairs, not n * n.
+4. What is left are lists of classes that share much and yet are no near copies. If few pairs are left, they are made. Else
+   these lists are skipped, and their members are met through the rarest shingles of their full sets: two sets that must
+   have o shingles in common share one of the first size - o + 1 of either, in any fixed order. A passage that many texts
+   share, or a text that many vary, makes long lists of coordinates, but the rarest shingles of a set seldom lie in it.
+5. Candidates keep those with at least t coinciding coordinates, and each is then confirmed on the full sets. Pairs whose set
+   sizes rule the similarity out are never made.
 
 Only links inside one component are ever left untested, so components are exact up to pairs lost by the signature:
 t lies 4.75 standard deviations below the expected number of matches at the very threshold (about 1 in 100,000 pairs there, far
@@ -27,7 +31,7 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +43,12 @@ from recordloom.session import Workspace
 COORDINATES = 64
 #: Standing for a null doc_id while ids are compared.
 NO_ID = (1 << 63) - 1
-#: Pivot rounds before the last one, at most; the last one is exact whatever is left.
-PIVOT_ROUNDS = 6
+#: Pairs that the last round may make from the coordinates' lists: so many always, and so many for each posting.
+FLOOR, PER_POSTING = 100_000, 0.25
+#: Another round of pivots follows while the last one has made the pairs that are left fewer by this factor.
+PIVOT_GAIN = 8
+#: A list of ids up to this length is sent to the tasks instead of shuffling texts or sets (8 to 24 bytes a row).
+BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,16 +90,33 @@ def postings(classes: DataFrame, needed: int) -> DataFrame:
     prefix = COORDINATES - needed + 1
     each = classes.select("cls", "n", F.posexplode("sig").alias("at", "value")).select("cls", "n", (F.col("at").cast("long") * (1 << 32) + F.col("value")).alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    per_class = each.join(shared, "token").groupBy("cls").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    per_class = each.join(shared, "token").groupBy("cls").agg(F.first("n").alias("n"), F.sum("df").alias("weight"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
     slots = F.greatest(F.lit(0), F.lit(prefix - COORDINATES) + F.size("tokens"))
-    return per_class.select("cls", "n", F.explode(F.slice("tokens", F.lit(1), slots)).alias("t")).select(F.col("t.token").alias("token"), "cls", "n")
+    return per_class.select("cls", "n", "weight", F.explode(F.slice("tokens", F.lit(1), slots)).alias("t")).select(F.col("t.token").alias("token"), "cls", "n", "weight")
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def _apart(x: Column, y: Column, percent: int) -> Column:
+    return 100 * F.least(x, y) < percent * F.greatest(x, y)
+
 
+def _met(posts: DataFrame, percent: int) -> DataFrame:
+    """The postings of the lists in which two members are close enough in size."""
+    sizes = posts.select("token", "n").distinct().withColumn("last", F.lag("n").over(Window.partitionBy("token").orderBy("n")))
+    lists = posts.groupBy("token").agg(F.count("*").alias("c"), F.count_distinct("n").alias("d"))
+    close = sizes.where(~_apart(F.col("n"), F.col("last"), percent)).select("token")
+    same = lists.where("c > d").select("token")
+    return posts.join(close.unionByName(same).distinct(), "token", "left_semi")
 
-def _sets(documents: DataFrame, classes: DataFrame, posted: DataFrame, width: int) -> DataFrame:
+
+def _sets(documents: DataFrame, classes: DataFrame, posted: DataFrame, width: int, ws: Workspace) -> DataFrame:
     """cls and the full shingle set (64-bit hashes, sorted) of each class that posts."""
-    wanted = posted.select("cls").distinct().join(classes.select("cls", "digest"), "cls")
+    wanted = ws.keep(posted.select("cls").distinct().join(classes.select("cls", "digest"), "cls"), "wanted")
     texts = need(documents, "doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    rows = texts.join(wanted, F.col("doc_id") == F.col("cls")).select("cls", "digest", "text")
+    rows = texts.join(_few(wanted), F.col("doc_id") == F.col("cls")).select("cls", "digest", "text")
 
     def batch(b):
         out = {"cls": [], "shingles": []}
@@ -105,12 +130,12 @@ def _sets(documents: DataFrame, classes: DataFrame, posted: DataFrame, width: in
     return map_batches(rows, batch, T.StructType([T.StructField("cls", T.LongType()), T.StructField("shingles", T.BinaryType())]))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, needed: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, needed: int, percent: int, ws: Workspace, label: str) -> DataFrame:
     """The pairs (a, b) with enough coinciding coordinates whose full sets are similar enough."""
     sig = lambda side: classes.select(F.col("cls").alias(side), F.col("sig").alias(f"sig_{side}"))
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    likely = pairs.join(sig("a"), "a").join(sig("b"), "b").where(same >= needed).select("a", "b")
-    full = lambda side: sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"set_{side}"))
+    likely = ws.keep(pairs.join(sig("a"), "a").join(sig("b"), "b").where(same >= needed).select("a", "b"), f"likely-{label}")
+    full = lambda side: sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"set_{side}")).join(_few(likely.select(side).distinct()), side, "left_semi")
     both = likely.join(full("a"), "a").join(full("b"), "b")
 
     def batch(b):
@@ -131,41 +156,87 @@ def _labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return posts.withColumn("label", F.col("cls"))
     named = labels.select(F.col("node").alias("cls"), "label")
-    return posts.join(named, "cls", "left").select("token", "cls", "n", F.coalesce("label", "cls").alias("label"))
+    return posts.join(named, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+
+def _lists(rows: DataFrame) -> DataFrame:
+    """token, the number of cross-label pairs, and the label that most members have, of lists with two labels or more."""
+    held = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
+    sums = held.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.max(F.struct("c", "label")).alias("most"))
+    return sums.where("c * c > cc").select("token", ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"), F.col("most.label").alias("major"))
+
+
+def _reach(n: Column, other: Column, percent: int) -> Column:
+    """How many of a set's rarest shingles must be looked at to meet a set of another size."""
+    return n - F.ceil(percent * (n + other) / (100 + percent)) + 1
+
+
+def _all_pairs(rows: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Every cross-label pair of every list: one of its ends is outside the list's most frequent label. Rows with a
+    position among their rarest shingles (``at``) meet only where both positions allow the similarity."""
+    live = rows.join(lists, "token")
+    held = [c for c in ("cls", "n", "label", "at") if c in rows.columns]
+    x = live.where("label <> major").select("token", *[F.col(c).alias(f"{c}_x") for c in held])
+    y = live.select("token", "major", *[F.col(c).alias(f"{c}_y") for c in held])
+    fits = (F.col("label_y") == F.col("major")) | (F.col("cls_x") < F.col("cls_y"))
+    if "at" in held:
+        fits &= (F.col("at_x") <= _reach(F.col("n_x"), F.col("n_y"), percent)) & (F.col("at_y") <= _reach(F.col("n_y"), F.col("n_x"), percent))
+    met = x.join(y, "token").where((F.col("label_x") != F.col("label_y")) & fits & ~_apart(F.col("n_x"), F.col("n_y"), percent))
+    return met.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b"))
+
+
+def _rare_shingles(live: DataFrame, sets: DataFrame, percent: int, ws: Workspace) -> DataFrame:
+    """Postings (token, cls, n, at) of the live classes under the rarest shingles of their full sets, as far as the
+    smallest partner in the list allows."""
+
+    def batch(b):
+        return {"cls": b.column("cls"), "shingles": [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]}
+
+    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    each = map_batches(sets.join(_few(live), "cls", "left_semi"), batch, schema).select("cls", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("token"))
+    shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    per_class = each.join(shared, "token").groupBy("cls").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    alone = F.col("n") - F.size("tokens")  # shingles that no other class has come first
+    least = F.ceil(F.col("n") * percent / 100)
+    slots = F.greatest(F.lit(0), _reach(F.col("n"), least, percent) - alone).cast("int")
+    placed = per_class.select("cls", "n", alone.alias("alone"), F.posexplode(F.slice("tokens", F.lit(1), slots)).alias("k", "t"))
+    posted = ws.keep(placed.select(F.col("t.token").alias("token"), "cls", "n", (F.col("alone") + F.col("k") + 1).alias("at"), F.ceil(F.col("n") * percent / 100).alias("least")), "rare")
+    smallest = posted.groupBy("token").agg(F.min("n").alias("low"))
+    return posted.join(smallest, "token").where(F.col("at") <= _reach(F.col("n"), F.greatest("low", "least"), percent)).select("token", "cls", "n", "at")
 
 
 def _linked(ws: Workspace, posts: DataFrame, classes: DataFrame, sets: DataFrame, needed: int, percent: int) -> DataFrame | None:
     """Component labels of all classes that are linked to another."""
-    bound = max(100_000, posts.count())
-    labels, step = None, 0
-    apart = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    bound = max(FLOOR, PER_POSTING * posts.count())
+    labels, step, before = None, 0, math.inf
     while True:
         step += 1
         rows = _labelled(posts, labels)
-        if labels is not None:
-            rows = ws.keep(rows, f"labelled-{step}")
-        lists = rows.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc")).where("c * c > cc")
-        left = lists.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0] or 0
+        rows = rows if labels is None else ws.keep(rows, f"labelled-{step}")
+        lists = ws.keep(_lists(rows), f"lists-{step}")
+        left = lists.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             return labels
-        live = rows.join(lists.select("token"), "token", "left_semi")
-        last = left <= bound or step > PIVOT_ROUNDS
-        if last:
-            x = live.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "label")])
-            y = live.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "label")])
-            met = x.join(y, "token").where((F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & apart(F.col("n_a"), F.col("n_b")))
-            pairs = met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+        last = left <= bound or left > before / PIVOT_GAIN
+        if left <= bound:
+            pairs = _all_pairs(rows, lists, percent)
+        elif last:
+            live = ws.keep(rows.join(lists, "token", "left_semi").select("cls").distinct(), "live")
+            rare = ws.keep(_labelled(_rare_shingles(live, sets, percent, ws), labels), "rarest")
+            pairs = _all_pairs(rare, _lists(rare), percent)
         else:
-            pivots = rows.groupBy("token").agg(F.min(F.struct("cls", "n", "label")).alias("p"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token", "p")
+            central = F.max(F.struct("weight", (-F.col("cls")).alias("order"), "cls", "n", "label")).alias("p")
+            pivots = rows.join(lists.select("token"), "token", "left_semi").groupBy("token").agg(central)
             met = ws.keep(rows.join(pivots, "token").where("cls <> p.cls"), f"met-{step}")
-            pairs = met.where((F.col("label") != F.col("p.label")) & apart(F.col("n"), F.col("p.n"))).select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
-        links = confirmed(pairs.distinct(), classes, sets, needed, percent)
+            pairs = met.where((F.col("label") != F.col("p.label")) & ~_apart(F.col("n"), F.col("p.n"), percent)).select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
+            posts = met.select("token", "cls", "n", "weight")
+        links = confirmed(pairs.distinct(), classes, sets, needed, percent, ws, str(step))
         if labels is not None:
             links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = ws.keep(components(links, ws, f"links-{step}"), f"labels-{step}")
         if last:
             return labels
-        posts = met.select("token", "cls", "n")
+        before = left
 
 
 def members(documents: DataFrame, width: int = 5, percent: int = 80, workspace: Workspace | None = None) -> DataFrame:
@@ -174,8 +245,8 @@ def members(documents: DataFrame, width: int = 5, percent: int = 80, workspace:
     needed = matches_needed(percent)
     rows = ws.keep(signed(documents, width).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "signed")
     classes = ws.keep(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("cls"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    posts = ws.keep(postings(classes, needed), "postings")
-    sets = ws.keep(_sets(documents, classes, posts, width), "sets")
+    posts = ws.keep(_met(ws.keep(postings(classes, needed), "posted"), percent), "postings")
+    sets = ws.keep(_sets(documents, classes, posts, width, ws), "sets")
     labels = _linked(ws, posts, classes, sets, needed, percent)
     named = classes.select("digest", "cls", "copies")
     if labels is not None:
