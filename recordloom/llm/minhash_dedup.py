@@ -1,9 +1,9 @@
 """Near-duplicate documents by an inverted join on signature coordinates.
 
-1. Every text becomes its shingle set, a digest of that set and a MinHash signature of ``COORDINATES`` values. Equal sets
+1. Every text becomes its shingle set, a digest of that set and a MinHash signature of ``MINIMA`` minima. Equal sets
    are one class from here on, so exact copies cost one row each and are never paired.
-2. Each class posts under coordinate-value pairs. Two classes that agree on at least ``t`` of K coordinates share one of
-   the K - t + 1 rarest pairs of either (any fixed order of the pairs gives this; rarest first makes the lists short).
+2. A coordinate is made of ``JOINED`` minima, so that chance seldom makes two texts agree on it. Each class posts under
+   coordinate-value pairs. Two classes that agree on at least ``t`` of K coordinates share one of the K - t + 1 rarest pairs of either (any fixed order of the pairs gives this; rarest first makes the lists short).
    Pairs that one class alone has are never posted, and a class with K - t + 1 of those posts nothing at all. Frequent
    pairs are thereby skipped wherever rarer ones suffice.
 3. Lists are merged around pivots. In a round the most central member of a list (the one whose pairs are the most shared)
@@ -13,12 +13,12 @@
    these lists are skipped, and their members are met through the rarest shingles of their full sets: two sets that must
    have o shingles in common share one of the first size - o + 1 of either, in any fixed order. A passage that many texts
    share, or a text that many vary, makes long lists of coordinates, but the rarest shingles of a set seldom lie in it.
-5. Candidates keep those with at least t coinciding coordinates, and each is then confirmed on the full sets. Pairs whose set
+5. Of the candidates those stay with enough equal minima, and each is then confirmed on the full sets. Pairs whose set
    sizes rule the similarity out are never made.
 
-Only links inside one component are ever left untested, so components are exact up to pairs lost by the signature:
-t lies 4.75 standard deviations below the expected number of matches at the very threshold (about 1 in 100,000 pairs there, far
-fewer above it).
+Only links inside one component are ever left untested, so components are exact up to pairs lost by the signature: both
+thresholds lie 4.75 standard deviations below the matches expected at the very threshold of similarity (about 1 in 100,000
+pairs there, far fewer above it).
 
 Defined cases: null, empty and blank texts have the empty set, stand alone and are kept; a null doc_id stands in no
 other row's component unless all ids of it are null; rows that repeat a doc_id with one text go or stay together; ties are
@@ -40,7 +40,8 @@ from recordloom.llm.rows import as_bytes, map_batches, need
 from recordloom.llm.shingles import shingle_set
 from recordloom.session import Workspace
 
-COORDINATES = 64
+MINIMA, JOINED = 64, 2
+COORDINATES = MINIMA // JOINED
 #: Standing for a null doc_id while ids are compared.
 NO_ID = (1 << 63) - 1
 #: Pairs that the last round may make from the coordinates' lists: so many always, and so many for each posting.
@@ -51,20 +52,21 @@ PIVOT_GAIN = 8
 BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
-_A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 
 _SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
 
 
-def matches_needed(percent: int, coordinates: int = COORDINATES) -> int:
-    s = percent / 100
-    return max(1, math.floor(coordinates * s - 4.75 * math.sqrt(coordinates * s * (1 - s))))
+def matches_needed(percent: int, joined: int = 1) -> int:
+    """Matches that a pair at the threshold reaches but for 4.75 standard deviations."""
+    n, p = MINIMA // joined, (percent / 100) ** joined
+    return max(1, math.floor(n * p - 4.75 * math.sqrt(n * p * (1 - p))))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The least of each of the hash functions over the set, as 32-bit integers."""
-    low = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 2048):
         low = np.minimum(low, (shingles[at : at + 2048, None] * _A + _B).min(axis=0))
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -85,14 +87,17 @@ def signed(documents: DataFrame, width: int) -> DataFrame:
     return map_batches(need(documents, "doc_id", "text"), batch, _SIGNED)
 
 
-def postings(classes: DataFrame, needed: int) -> DataFrame:
-    """token, cls, n: each class under its rarest shared coordinate-value pairs, as far as its prefix reaches."""
-    prefix = COORDINATES - needed + 1
-    each = classes.select("cls", "n", F.posexplode("sig").alias("at", "value")).select("cls", "n", (F.col("at").cast("long") * (1 << 32) + F.col("value")).alias("token"))
+def postings(classes: DataFrame, percent: int) -> DataFrame:
+    """token, cls, n, weight: each class under its rarest shared coordinate-value pairs, as far as its prefix reaches; weight
+    tells how shared all of its pairs are."""
+    prefix = COORDINATES - matches_needed(percent, JOINED) + 1
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * JOINED + 1, JOINED)))
+    each = classes.select("cls", F.explode(tokens).alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    per_class = each.join(shared, "token").groupBy("cls").agg(F.first("n").alias("n"), F.sum("df").alias("weight"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    per_class = each.join(shared, "token").groupBy("cls").agg(F.sum("df").alias("weight"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
     slots = F.greatest(F.lit(0), F.lit(prefix - COORDINATES) + F.size("tokens"))
-    return per_class.select("cls", "n", "weight", F.explode(F.slice("tokens", F.lit(1), slots)).alias("t")).select(F.col("t.token").alias("token"), "cls", "n", "weight")
+    posted = per_class.withColumn("tokens", F.slice("tokens", F.lit(1), slots)).where("size(tokens) > 0").join(classes.select("cls", "n"), "cls")
+    return posted.select("cls", "n", "weight", F.explode("tokens").alias("t")).select(F.col("t.token").alias("token"), "cls", "n", "weight")
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -130,17 +135,23 @@ def _sets(documents: DataFrame, classes: DataFrame, posted: DataFrame, width: in
     return map_batches(rows, batch, T.StructType([T.StructField("cls", T.LongType()), T.StructField("shingles", T.BinaryType())]))
 
 
+def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """a, b and the column of both. The second end brings its value along to the first, of which there are fewer."""
+    b = table.select(F.col("cls").alias("b"), F.col(column).alias(f"{column}_b")).join(_few(pairs), "b")
+    a = table.select(F.col("cls").alias("a"), F.col(column).alias(f"{column}_a")).join(_few(pairs.select("a").distinct()), "a", "left_semi")
+    return b.join(a, "a")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, needed: int, percent: int, ws: Workspace, label: str) -> DataFrame:
     """The pairs (a, b) with enough coinciding coordinates whose full sets are similar enough."""
-    sig = lambda side: classes.select(F.col("cls").alias(side), F.col("sig").alias(f"sig_{side}"))
+    pairs = ws.keep(pairs, f"pairs-{label}")
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    likely = ws.keep(pairs.join(sig("a"), "a").join(sig("b"), "b").where(same >= needed).select("a", "b"), f"likely-{label}")
-    full = lambda side: sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"set_{side}")).join(_few(likely.select(side).distinct()), side, "left_semi")
-    both = likely.join(full("a"), "a").join(full("b"), "b")
+    likely = ws.keep(_with_both(pairs, classes, "sig").where(same >= needed).select("a", "b"), f"likely-{label}")
+    both = _with_both(likely, sets, "shingles")
 
     def batch(b):
         out = {"a": [], "b": []}
-        rows = zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True)
+        rows = zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("shingles_a").to_pylist(), b.column("shingles_b").to_pylist(), strict=True)
         for a, c, x, y in rows:
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
@@ -149,7 +160,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, needed: int
                 out["b"].append(c)
         return out
 
-    return map_batches(both.select("a", "b", "set_a", "set_b"), batch, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    return map_batches(both.select("a", "b", "shingles_a", "shingles_b"), batch, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
 def _labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -245,7 +256,7 @@ def members(documents: DataFrame, width: int = 5, percent: int = 80, workspace:
     needed = matches_needed(percent)
     rows = ws.keep(signed(documents, width).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "signed")
     classes = ws.keep(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("cls"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    posts = ws.keep(_met(ws.keep(postings(classes, needed), "posted"), percent), "postings")
+    posts = ws.keep(_met(ws.keep(postings(classes, percent), "posted"), percent), "postings")
     sets = ws.keep(_sets(documents, classes, posts, width, ws), "sets")
     labels = _linked(ws, posts, classes, sets, needed, percent)
     named = classes.select("digest", "cls", "copies")
