@@ -1,0 +1,70 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from recordloom.llm import secret_scan as S
+
+TOKEN = "3f786850e387550fdab836ed7e6dc881de23001b"
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return S.train(S.generated_findings(spark, 60))
+
+
+def test_held_out_findings(spark):
+    found = S.generated_findings(spark, 80)
+    model = S.train(found.where("id % 4 <> 3"))
+    judged = S._scored(found.where("id % 4 = 3"), model)
+    wrong = judged.where((F.col("score") >= 0.5).cast("int") != F.col("label")).count()
+    assert wrong <= 0.02 * judged.count()
+
+
+TEXTS = [
+    (10, f'before token = "{TOKEN}" after', [TOKEN]),
+    (11, f'x TOKEN: "{TOKEN.upper()}"!! y token = "{TOKEN}" and token = "{TOKEN}"', [TOKEN.upper(), TOKEN, TOKEN]),
+    (12, "the schaftlichmenttionkeitverschaft is a long word, and a-b-c-d-e-f-g-h-i-j-k-l-m", []),
+    (13, f"fixed in commit {TOKEN} of the tree", []),
+    (14, "api_key = YOUR_API_KEY_HERE", []),
+    (15, f"\u0001\u0002 é token = \"{TOKEN}\" \u0001 end", [TOKEN]),
+    (16, "nothing here", []),
+]
+
+
+def test_spans(docs, model):
+    rows = [(i, t) for i, t, _ in TEXTS]
+    got = S.scan(docs(rows), model).collect()
+    want = []
+    for i, t, secrets in TEXTS:
+        at = 0
+        for s in secrets:
+            at = t.index(s, at)
+            want.append((i, at, len(s), hashlib.sha256(s.encode()).hexdigest()))
+            at += len(s)
+    assert sorted((r.doc_id, r.start, r.n_chars, r.secret_sha256) for r in got) == sorted(want)
+
+
+def test_redaction_changes_secrets_alone(docs, model):
+    table = docs([(i, t) for i, t, _ in TEXTS])
+    out = S.redact(table, model)
+    assert out.columns == table.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    for i, t, secrets in TEXTS:
+        want = re.sub("|".join(set(secrets)), "[SECRET]", t) if secrets else t
+        assert got[i] == (want.replace("\u0001", " ").replace("\u0002", " ") if secrets else want)
+
+
+def test_odd_rows(odd, nothing, model):
+    assert S.scan(nothing, model).count() == 0 and S.redact(nothing, model).count() == 0
+    out = S.redact(odd, model)
+    assert out.count() == odd.count()
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect() if r.doc_id != 8) == sorted((str(r.doc_id), str(r.text)) for r in odd.collect() if r.doc_id != 8)
+
+
+def test_no_python_on_the_path(docs, model):
+    table = docs([(i, t) for i, t, _ in TEXTS])
+    for frame in (S.scan(table, model), S.redact(table, model)):
+        plan = frame._jdf.queryExecution().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
