@@ -27,8 +27,9 @@ def reconcile(incoming: DataFrame, registry: DataFrame, aliases: DataFrame | Non
     index = name_index(registry, aliases).withColumnRenamed("id", "known_id")
     new = incoming.select("id", "type", "ord", tx.normalized_name("name").alias("norm"))
     marked = new.join(registry.select(F.col("id"), F.lit(True).alias("here")), "id", "left").join(index, ["norm", "type"], "left")
-    first = F.min_by("id", F.struct("ord", "id")).over(Window.partitionBy("norm", "type"))
-    batch = F.when(F.col("norm") != "", first).otherwise(F.col("id"))
+    first = new.where("norm <> ''").groupBy("norm", "type").agg(F.min_by("id", F.struct("ord", "id")).alias("first_id"))
+    marked = marked.join(first, ["norm", "type"], "left")
+    batch = F.coalesce("first_id", "id")
     final = F.when(F.col("here"), F.col("id")).otherwise(F.coalesce("known_id", batch))
     return marked.withColumn("final_id", final).select("id", "final_id", (F.col("id") != F.col("final_id")).alias("matched"))
 

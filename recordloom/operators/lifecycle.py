@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as tx
+from recordloom.operators.ranking import spread_rank
 
 
 def chew_state(documents: DataFrame, text: str = "text", error: str | None = None) -> DataFrame:
@@ -18,9 +19,9 @@ def chew_state(documents: DataFrame, text: str = "text", error: str | None = Non
     return documents.withColumns({"state": state, "char_count": count, "garbled": tx.is_garbled(text)})
 
 
-def upper_median(c: Column) -> Column:
-    values = F.array_sort(F.collect_list(c))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+def upper_median(column: str) -> Column:
+    """The middle value, the upper one of two; what is held is a count for each distinct value."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
 
 
 def workers(cores: int, median_pages: int | None) -> tuple[int, int]:
@@ -43,8 +44,7 @@ def queue_view(queue: DataFrame) -> DataFrame:
 
 def batches(queue: DataFrame, size: int = 5) -> DataFrame:
     """document_type, sha256, batch, place: types in order, unknown last, ``size`` documents a batch within a type."""
-    w = Window.partitionBy("document_type").orderBy("sha256")
-    numbered = queue.withColumn("n", F.row_number().over(w))
+    numbered = spread_rank(queue, ["document_type"], F.substring("sha256", 1, 3), ["sha256"], "n")
     return numbered.select("document_type", "sha256", F.floor((F.col("n") - 1) / size).cast("long").alias("batch"), ((F.col("n") - 1) % size).cast("long").alias("place"))
 
 

@@ -62,9 +62,8 @@ def document_notes(documents: DataFrame, facts: DataFrame, mentioned: DataFrame)
 
 
 def slugs(rows: DataFrame, key: str, name: str, order: str) -> DataFrame:
-    """key, slug: a slug of the name; who comes later with the same slug gets the first six characters of its key behind it."""
-    from pyspark.sql import Window
-
-    made = rows.select(key, order, tx.doc_slug(name).alias("slug"))
-    place = F.row_number().over(Window.partitionBy("slug").orderBy(order))
-    return made.withColumn("_place", place).select(key, F.when(F.col("_place") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.substring(F.col(key).cast("string"), 1, 6))).alias("slug"))
+    """key, slug: a slug of the name; all but the first with a slug get the first six characters of their key behind it."""
+    made = rows.select(F.col(key), F.col(order).alias("_order"), tx.doc_slug(name).alias("slug"))
+    first = made.groupBy("slug").agg(F.min("_order").alias("_first"))
+    later = F.concat("slug", F.lit("-"), F.substring(F.col(key).cast("string"), 1, 6))
+    return made.join(first, "slug").select(key, F.when(F.col("_order") == F.col("_first"), F.col("slug")).otherwise(later).alias("slug"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import text as tx
 from recordloom.operators.extraction import event_key
+from recordloom.operators.ranking import spread_rank
 
 
 def stage(events: DataFrame) -> DataFrame:
@@ -46,9 +47,8 @@ def settle(events: DataFrame) -> DataFrame:
 
 def by_year(events: DataFrame, order: str = "ord") -> DataFrame:
     """year, place, date, event, ...: the events of each year in the order of their dates, a coarser date before the finer ones."""
-    rows = events.withColumn("year", tx.year_of("date"))
-    w = Window.partitionBy("year").orderBy(tx.date_key("date"), order)
-    return rows.withColumn("place", F.row_number().over(w))
+    rows = spread_rank(events.withColumn("year", tx.year_of("date")), ["year"], tx.date_key("date"), [order], "place")
+    return rows.withColumn("place", F.col("place").cast("int"))
 
 
 def line(date: Column, event: Column, confidence: Column) -> Column:

@@ -468,7 +468,7 @@ def queue_batches(spark, d):
 
 @query("adaptive_median", "SELECT source, list_sort(list(n_chars))[(count(*) // 2 + 1)::INT] AS median FROM documents GROUP BY source")
 def adaptive_median(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(lifecycle.upper_median(F.col("n_chars")).alias("median"))
+    return table(spark, d, "documents").groupBy("source").agg(lifecycle.upper_median("n_chars").cast("long").alias("median"))
 
 
 @query("session_usage", "SELECT 'conv' || conv_id AS agent, sum(length(text))::BIGINT AS tokens, round(sum(length(text) * CASE WHEN role = 'assistant' THEN 15.0 WHEN role = 'user' THEN 3.0 ELSE 0 END / 1e6), 9) AS cost FROM conversations GROUP BY 1")
