@@ -141,3 +141,13 @@ def wiki_links(c: Column | str) -> Column:
 
 def wiki_link(target: Column, alias: Column) -> Column:
     return F.concat(F.lit("[["), target, F.lit("|"), alias, F.lit("]]"))
+
+
+def eta(seconds: Column | str) -> Column:
+    """``45s``, ``2m 05s`` or ``1h 03m``."""
+    s = (F.col(seconds) if isinstance(seconds, str) else seconds).cast("long")
+    return (
+        F.when(s < 60, F.format_string("%ds", s))
+        .when(s < 3600, F.format_string("%dm %02ds", F.floor(s / 60), s % 60))
+        .otherwise(F.format_string("%dh %02dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
+    )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import fingerprint as fp
 from recordloom.functions import text as tx
-from recordloom.operators import ask, audit, extraction, flags, graph, lifecycle, render, sections, similarity, timeline, vectors
+from recordloom.operators import ask, audit, extraction, flags, graph, ingest, lifecycle, render, sections, similarity, timeline, vectors
 from recordloom.plans import world as w
 from recordloom.session import Workspace, table
 from recordloom.streaming import watch
@@ -609,3 +609,38 @@ def briefing(spark, d):
 @query("storage", "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY source")
 def storage(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("bytes"))
+
+
+def _extractions(spark, d):
+    """An extraction in JSON for each order: its buyer, under an id of the order's own, and the buyer's nation."""
+    buyers = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, d, "orders").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+    own, nation = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit("-c")), F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    role = F.struct(F.lit("Resides in").alias("relationship"), nation.alias("target_id"), F.lit("high").alias("confidence"))
+    none = F.array().cast("array<struct<relationship:string,target_id:string,confidence:string>>")
+    who = F.struct(own.alias("id"), F.col("c_name").alias("name"), F.lit("Person").alias("type"), F.array(role).alias("roles"))
+    where = F.struct(nation.alias("id"), F.col("n_name").alias("name"), F.lit("Address").alias("type"), none.alias("roles"))
+    key = F.col("o_orderkey").cast("string")
+    document = F.struct(F.concat(F.lit("D"), key).alias("sha256"), F.concat(key, F.lit(".pdf")).alias("filename"), F.col("o_orderpriority").alias("document_type"))
+    whole = F.struct(document.alias("document"), F.array(who, where).alias("entities"), own.alias("morgue_entity_id"), F.lit("Order").alias("morgue_document_type"))
+    return rows.select(F.col("o_orderkey").alias("arrival"), F.to_json(whole).alias("json"))
+
+
+_BUYERS = "b AS (SELECT 'o' || min(o_orderkey) || '-c' AS id, c_name AS name, c_custkey, any_value(c_nationkey) AS nk FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_name, c_custkey)"
+
+
+@query("ingest_entities", f"WITH {_BUYERS} SELECT id, name, 'Person' AS type FROM b UNION ALL SELECT 'n' || n_nationkey, n_name, 'Address' FROM nation WHERE n_nationkey IN (SELECT nk FROM b)")
+def ingest_entities(spark, d):
+    return ingest.post_flight(_extractions(spark, d), ingest.empty(spark), "2024-01-01T00:00:00Z")["entities"].select("id", "name", "type")
+
+
+@query("ingest_roles", f"WITH {_BUYERS} SELECT id AS src_id, 'Resides in' AS relationship, 'n' || nk AS target_id, false AS is_reverse FROM b UNION ALL SELECT 'n' || nk, 'Resides in', id, true FROM b")
+def ingest_roles(spark, d):
+    return ingest.post_flight(_extractions(spark, d), ingest.empty(spark), "2024-01-01T00:00:00Z")["roles"].select("src_id", "relationship", "target_id", "is_reverse")
+
+
+@query("ingest_rejected", "SELECT o_orderkey AS arrival, 1 AS n_errors FROM orders WHERE o_orderkey % 10 = 0")
+def ingest_rejected(spark, d):
+    raw = _extractions(spark, d)
+    broken = raw.withColumn("json", F.when(F.col("arrival") % 10 == 0, F.replace("json", F.lit('"morgue_document_type":"Order"'), F.lit('"morgue_document_type":""'))).otherwise(F.col("json")))
+    return ingest.validate(broken)[1].select("arrival", F.size("errors").alias("n_errors"))

@@ -38,6 +38,9 @@ def one(spark, make, value):
         (tx.file_stem, "x/.hidden", ".hidden"),
         (tx.human_size, "2048", "2.0 KB"),
         (tx.page_label, "1", "1 page"),
+        (tx.eta, "45", "45s"),
+        (tx.eta, "125", "2m 05s"),
+        (tx.eta, "3785", "1h 03m"),
     ],
 )
 def test_functions(spark, make, value, want):
