@@ -113,7 +113,8 @@ def _right_vectors(rows: np.ndarray, rank: int, rounds: int = 4) -> np.ndarray:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    """Whether a document is never learnt from; one without an id is not held out, but has no label either."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
