@@ -21,7 +21,7 @@ thresholds lie 4.75 standard deviations below the matches expected at the very t
 pairs there, far fewer above it).
 
 Defined cases: null, empty and blank texts have the empty set, stand alone and are kept; a null doc_id stands in no
-other row's component unless all ids of it are null; rows that repeat a doc_id with one text go or stay together; ties are
+other row's component unless all ids of it are null, and ``keep`` keeps it; rows that repeat a doc_id with one text go or stay together; ties are
 decided by the least doc_id; an empty table gives no rows; further columns are ignored.
 """
 
@@ -272,9 +272,11 @@ def members(documents: DataFrame, width: int = 5, percent: int = 80, workspace:
 
 
 def keep(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that a lesser doc_id of their component stands for, with all columns."""
-    gone = members(documents, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """The documents without those that a lesser doc_id of their component stands for, with all columns. While few ids go,
+    the list of them is sent to the documents and not the documents shuffled."""
+    ws = Workspace(documents.sparkSession, "near-duplicates")
+    gone = ws.keep(members(documents, width, percent, ws).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return documents.join(_few(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
