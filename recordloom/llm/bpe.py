@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from recordloom.llm.chunks import WordTable, blocks, byte_of_char, cuts_into_words
 from recordloom.llm.rows import map_batches, need
 
-#: Compatibility answers that a worker remembers; beyond, it starts afresh.
-PAIR_ENTRIES = 1_000_000
+#: Words in each generation of a worker's table (about 300 bytes each), and compatibility answers that it remembers.
+WORD_ENTRIES, PAIR_ENTRIES = 200_000, 500_000
 
 
 class Bpe:
@@ -83,7 +83,7 @@ class Bpe:
         self._back = [n - 1 for n in self.size]
         self._packed = [np.array([i], self.dtype).tobytes() for i in self.id_of]
         self._decimal = [str(i).encode() for i in self.id_of]
-        self.table = WordTable(self._words, self.special)
+        self.table = WordTable(self._words, self.special, WORD_ENTRIES)
 
     def _compatible(self, left: int, right: int, below: int) -> bool:
         """Whether no merge of a rank under ``below`` joins anything across the border of two tokens while the

@@ -25,12 +25,12 @@ from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.rows import as_bytes, map_batches, need
+from recordloom.llm.rows import ROWS, as_bytes, map_batches, need
 
 MIN_WORDS = 8
 CLASSES = (4, 8, 16, 32, 64)
@@ -236,11 +236,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = 20) -> Data
             index = _index(held.value, percent)
             if index.empty:
                 return None
-            rows = []
-            texts, ids = as_bytes(b, "text"), b.column("doc_id").to_pylist()
-            for at in range(0, len(texts), 500):
-                for i, got in zip(ids[at : at + 500], search(index, [word_hashes(t) for t in texts[at : at + 500]]), strict=True):
-                    rows += [(i, index.items[k][0], first, n, edits, len(index.items[k][1])) for k, first, n, edits in got]
+            found = search(index, [word_hashes(t) for t in as_bytes(b, "text")])
+            rows = [(i, index.items[k][0], first, n, edits, len(index.items[k][1])) for i, got in zip(b.column("doc_id").to_pylist(), found, strict=True) for k, first, n, edits in got]
             return dict(zip(FOUND.fieldNames(), zip(*rows, strict=True), strict=True)) if rows else None
 
         part = map_batches(need(documents, "doc_id", "text"), batch, FOUND)
@@ -249,9 +246,25 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = 20) -> Data
 
 
 def keep(documents: DataFrame, benchmark: DataFrame, percent: int = 20) -> DataFrame:
-    """The documents without those that hold a benchmark item, with all columns."""
-    tainted = leaks(documents, benchmark, percent).select(F.col("doc_id").alias("tainted")).distinct()
-    return documents.join(tainted, F.col("doc_id").eqNullSafe(F.col("tainted")), "left_anti")
+    """The documents without those that hold a benchmark item, with all columns. Each row is judged where it is scanned, by
+    its own text, so null and repeated doc_ids are safe and nothing is shuffled."""
+    spark = documents.sparkSession
+    for items in item_blocks(benchmark):
+        held = spark.sparkContext.broadcast(items)
+
+        def run(batches, held=held):
+            index = _index(held.value, percent)
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    b = whole.slice(at, ROWS)
+                    if not index.empty:
+                        found = search(index, [word_hashes(t) for t in as_bytes(b, "text")])
+                        b = b.filter(pa.array([not f for f in found], type=pa.bool_()))
+                    if b.num_rows:
+                        yield b
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -13,12 +13,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.rows import as_bytes, map_batches, need
+from recordloom.llm.rows import ROWS, as_bytes, map_batches, need
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 
@@ -135,18 +136,16 @@ def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
 def keep(documents: DataFrame, policy: Policy = STRICT) -> DataFrame:
     """The documents that the policy keeps, with all their columns. The verdict is joined by a row's own
     position in the scan's task, not by doc_id, so repeated and null ids are safe; nothing is shuffled."""
-    kept = documents.schema.fieldNames()
-    arrow_cols = list(kept)
 
     def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            points = pc.fill_null(pc.utf8_length(b.column("text")), 0).to_pylist()
-            good = [not (_bits(_measure(t or b"", p)) & policy.mask) for t, p in zip(as_bytes(b, "text"), points, strict=True)]
-            out = b.filter(pa.array(good, type=pa.bool_()))
-            if out.num_rows:
-                yield out.select(arrow_cols)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                points = pc.fill_null(pc.utf8_length(b.column("text")), 0).to_pylist()
+                good = [not (_bits(_measure(t or b"", p)) & policy.mask) for t, p in zip(as_bytes(b, "text"), points, strict=True)]
+                out = b.filter(pa.array(good, type=pa.bool_()))
+                if out.num_rows:
+                    yield out
 
     return documents.mapInArrow(run, documents.schema)
 

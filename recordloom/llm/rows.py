@@ -16,14 +16,18 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.large_binary()).to_pylist()
 
 
+#: Rows that a worker turns into Python objects at a time; Spark bounds an Arrow batch by its bytes, not what becomes of it.
+ROWS = 512
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | None], schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` with one dict of columns for each batch; a batch may give no rows."""
+    """``mapInArrow`` with one dict of columns for each ``ROWS`` rows; a call may give no rows."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                out = fn(whole.slice(at, ROWS))
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
