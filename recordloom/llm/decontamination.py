@@ -1,15 +1,12 @@
 """Benchmark passages in documents, with edits.
 
-The CGK walk reads a sequence and, at each step, puts out the symbol it stands on and moves on if a random bit drawn for
-that step and symbol says so. Two sequences at a small edit distance soon walk together again after an edit, so that
-their outputs differ in few places: edit distance has become Hamming distance. Outputs are compared by bit sampling: each
-repetition hashes the outputs at some random steps, and equal hashes make a candidate.
+An item of n words may have k = n * ``percent`` // 100 of them edited. It is cut into k + 1 pieces: an edit falls into one piece
+at most, so a passage with k edits or fewer holds a piece unedited, and not more than k words from where it stands in the
+item. Every run of words of a document is therefore looked up among the pieces (the first ``PIECE_WORDS`` words of longer ones),
+and no passage within the bound is lost, whatever its length and wherever its edits are.
 
-Symbols are words (lower case, without ASCII signs). Document windows start at every ``stride``-th word, and an item is
-entered from each of its first ``stride`` words, so every passage has windows that begin where an entry of its item
-does, wherever it lies. Windows are item-sized: items fall into classes by length, each class samples the steps that its
-length allows, and an item longer than its class is entered further on too. A candidate is settled by the edit distance of the
-whole item to the best stretch of the document around it, at most ``percent`` of the item's words.
+Symbols are words (lower case, without ASCII signs). A candidate is settled by the edit distance of the whole item to the
+best stretch of the document around it, at most ``percent`` of the item's words.
 
 Each scan task holds only the items (collected in blocks of at most ``BLOCK_BYTES``; a larger benchmark takes a scan for
 each block) and a block of texts; nothing is shuffled.
@@ -33,16 +30,12 @@ from pyspark.sql import types as T
 from recordloom.llm.rows import ROWS, as_bytes, map_batches, need
 
 MIN_WORDS = 8
-CLASSES = (4, 8, 16, 32, 64)
-#: Walks, and sampled repetitions of each walk's output, for each class of windows.
-WALKS, SAMPLES = 4, 3
+#: Words of a piece that are looked up; 20 percent makes pieces of 3 to 5 words.
+PIECE_WORDS = 8
 BLOCK_BYTES = 32 << 20
 BLOCK_WORDS = 200_000
 
-#: Windows that are walked together: few enough for the arrays to stay in a core's cache.
-TOGETHER = 8192
-
-_STEP, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(63)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _SIGNS = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 _PUNCT = [c.encode() for c in "‘’“”–—… «»"]
 
@@ -62,74 +55,79 @@ def word_hashes(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-class Walk:
-    """Random choices of all walks and samples, the same in every task."""
-
-    def __init__(self, classes: tuple[int, ...], seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.classes = classes
-        self.steps = {c: c + c // 2 for c in classes}
-        self.length = max(self.steps.values())
-        self.move = rng.integers(1, 1 << 63, (WALKS, self.length), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.sampled = {(w, c, s): frozenset(rng.choice(self.steps[c], size=min(self.steps[c], max(5, min(12, c // 4 + 4))), replace=False).tolist()) for w in range(WALKS) for c in classes for s in range(SAMPLES)}
-
-    def keys(self, symbols: np.ndarray, starts: np.ndarray):
-        """For each (walk, class, sample), the hash of the sampled outputs of the windows at ``starts``.
-        ``symbols`` must reach ``length`` beyond the last start."""
-        out, bit = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
-        for w in range(WALKS):
-            at = starts.copy()
-            acc = {(c, s): np.full(len(starts), w * 64 + s * 16 + CLASSES.index(c) + 1, np.uint64) for c in self.classes for s in range(SAMPLES)}
-            for step in range(self.length):
-                np.take(symbols, at, out=out, mode="clip")
-                for (c, s), a in acc.items():
-                    if step in self.sampled[w, c, s]:
-                        np.multiply(a, _STEP, out=a)
-                        np.add(a, out, out=a)
-                np.multiply(out, self.move[w, step], out=bit)
-                np.right_shift(bit, _TOP, out=bit)
-                np.add(at, bit.view(np.int64), out=at)
-                for c in self.classes:
-                    if step + 1 == self.steps[c]:
-                        for s in range(SAMPLES):
-                            a = acc.pop((c, s))
-                            yield (w, c, s), a ^ (a >> np.uint64(31))
-
-
 class Index:
-    """Entries of a block of items."""
+    """Pieces of a block of items, under hashes of their words."""
 
     def __init__(self, items: list[tuple[int, bytes]], percent: int):
         self.items = [(i, h) for i, t in items if len(h := word_hashes(t)) >= MIN_WORDS]
-        self.percent = percent
+        self.allowed = [min(len(h) * percent // 100, len(h) - 1) for _, h in self.items]
         self.empty = not self.items
         if self.empty:
             return
-        self.stride = max(1, min(4, min(len(h) for _, h in self.items) // 3))
-        sized = [max(c for c in CLASSES if c <= max(CLASSES[0], len(h) - self.stride + 1)) for _, h in self.items]
-        self.walk = Walk(tuple(sorted(set(sized))))
         entries: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        pad = np.zeros(self.walk.length + 1, np.uint64)
-        for k, ((_, h), c) in enumerate(zip(self.items, sized, strict=True)):
-            offsets = np.arange(max(1, len(h) - c + 1), dtype=np.int64)
-            for (_, cls, _), keys in self.walk.keys(np.concatenate([h, pad]), offsets):
-                if cls == c:
-                    for o, key in zip(offsets.tolist(), keys.tolist(), strict=True):
-                        entries[key].append((k, o))
+        self.widths: set[int] = set()
+        for k, ((_, h), edits) in enumerate(zip(self.items, self.allowed, strict=True)):
+            cuts = [len(h) * j // (edits + 1) for j in range(edits + 2)]
+            pieces = {a: min(b - a, PIECE_WORDS) for a, b in zip(cuts, cuts[1:], strict=False)}
+            for width, keys in grams(h, set(pieces.values())):
+                for a, w in pieces.items():
+                    if w == width:
+                        entries[int(keys[a])].append((k, a))
+            self.widths |= set(pieces.values())
         self.entries = dict(entries)
-        self.bits = max(16, (len(entries) * 64).bit_length())
-        self.mask = np.zeros(1 << self.bits, bool)
-        self.mask[np.fromiter(entries, np.uint64, len(entries)) & np.uint64(len(self.mask) - 1)] = True
+        self.known = np.sort(np.fromiter(entries, np.uint64, len(entries)))
+        self.mask = np.zeros(1 << max(16, (len(entries) * 64).bit_length()), bool)
+        self.mask[self.known & np.uint64(len(self.mask) - 1)] = True
 
-    def candidates(self, symbols: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
-        """(item, place where it would begin) for the windows whose sampled output an entry shares."""
-        found: set[tuple[int, int]] = set()
+    def candidates(self, symbols: np.ndarray):
+        """(places of pieces, their widths, their keys) in the words."""
         low = np.uint64(len(self.mask) - 1)
-        for _, keys in self.walk.keys(symbols, starts):
-            for j in np.flatnonzero(self.mask[keys & low]).tolist():
-                for k, offset in self.entries.get(int(keys[j]), ()):
-                    found.add((k, int(starts[j]) - offset))
-        return found
+        for width, keys in grams(symbols, self.widths):
+            at = np.flatnonzero(self.mask[keys & low])
+            found = keys[at]
+            held = self.known[np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)] == found
+            yield width, at[held], found[held]
+
+    @lru_cache(maxsize=4096)  # noqa: B019
+    def bits(self, k: int) -> dict[int, int]:
+        """For each word of an item, the bits of the places where it stands."""
+        out: dict[int, int] = defaultdict(int)
+        for j, w in enumerate(self.items[k][1].tolist()):
+            out[w] |= 1 << j
+        return dict(out)
+
+
+def grams(symbols: np.ndarray, widths: set[int]):
+    """(width, hashes of all runs of so many words) for each of the widths."""
+    acc = symbols
+    for width in range(1, min(max(widths), len(symbols)) + 1):
+        if width > 1:
+            acc = acc[:-1] * _STEP
+            acc += symbols[width - 1 :]
+        if width in widths:
+            keys = acc + np.uint64(width)
+            keys ^= keys >> np.uint64(29)
+            yield width, keys
+
+
+def fewest(bits: dict[int, int], n: int, words: list[int]) -> tuple[int, int]:
+    """(edits, end) of the stretch of ``words`` nearest to an item of ``n`` words, the first of equals; a column of the table
+    of edit distances is two numbers, of the places where it rises and where it falls."""
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, edits, best = full, 0, n, (n, 0)
+    for j, w in enumerate(words, 1):
+        eq = bits.get(w, 0)
+        x = (((eq & up) + up) ^ up) | eq
+        rise, fall = down | (full & ~(x | up)), up & x
+        if rise & top:
+            edits += 1
+        elif fall & top:
+            edits -= 1
+            if edits < best[0]:
+                best = (edits, j)
+        rise, eq = (rise << 1) & full, eq | down
+        up, down = ((fall << 1) & full) | (full & ~(eq | rise)), rise & eq
+    return best
 
 
 def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -156,28 +154,36 @@ def _settle(index: Index, doc: np.ndarray, places: dict[int, set[int]]) -> list[
     """(item, first, words, edits) for the items that the document holds."""
     found = []
     for k, begins in places.items():
-        item = index.items[k][1]
-        n, allowed = len(item), len(item) * index.percent // 100
-        best = None
-        reached = -1
+        item, allowed, bits = index.items[k][1], index.allowed[k], index.bits(k)
+        n = len(item)
+        whole = next((b for b in sorted(begins) if b >= 0 and np.array_equal(doc[b : b + n], item)), None)
+        if whole is not None:
+            found.append((k, whole, n, 0))
+            continue
+        spans: list[list[int]] = []
         for b in sorted(begins):
             lo, hi = max(0, b - allowed), min(len(doc), b + n + allowed)
-            if hi <= reached or hi - lo < n - allowed:
-                continue
-            if b >= 0 and b + n <= len(doc) and np.array_equal(doc[b : b + n], item):
-                best = (0, b, n)
-                break
-            edits, first, end = best_stretch(item, doc[lo:hi])
-            reached = hi
-            if edits <= allowed and (best is None or edits < best[0]):
-                best = (edits, lo + first, end - first)
-        if best:
-            found.append((k, best[1], best[2], best[0]))
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = max(hi, spans[-1][1])
+            else:
+                spans.append([lo, hi])
+        best = (allowed + 1, 0)
+        for lo, hi in spans:
+            words = doc[lo:hi].tolist()
+            # so many words of the stretch are the item's own
+            if sum(map(bits.__contains__, words)) >= n - allowed:
+                edits, end = fewest(bits, n, words)
+                if edits < best[0]:
+                    best = (edits, lo + end)
+        if best[0] <= allowed:
+            lo = max(0, best[1] - n - allowed)
+            edits, first, end = best_stretch(item, doc[lo : best[1]])
+            found.append((k, lo + first, end - first, edits))
     return found
 
 
 def search(index: Index, docs: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
-    """What each document holds; documents are walked together in blocks."""
+    """What each document holds; the words of several documents are looked up together."""
     found: list[list[tuple[int, int, int, int]]] = [[] for _ in docs]
     lo = 0
     while lo < len(docs):
@@ -186,22 +192,17 @@ def search(index: Index, docs: list[np.ndarray]) -> list[list[tuple[int, int, in
             words += len(docs[hi])
             hi += 1
         block = docs[lo:hi]
-        begins = np.concatenate([[0], np.cumsum([len(d) for d in block])])
-        symbols = np.concatenate([*block, np.zeros(index.walk.length + 1, np.uint64)])
-        starts = np.concatenate([np.arange(a, b, index.stride) for a, b in zip(begins[:-1], begins[1:], strict=True)]).astype(np.int64)
-        places: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for w in range(0, len(starts), TOGETHER):
-            for k, begin in index.candidates(symbols, starts[w : w + TOGETHER]):
-                places[max(0, begin)][k].add(begin)
+        ends = np.cumsum([len(d) for d in block])
         by_doc: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for begin, items in places.items():
-            for k, bs in items.items():
-                # an entry's window may begin before the document does when its first words are cut off: try both
-                for probe in {begin, begin + len(index.items[k][1]) // 2}:
-                    d = int(np.searchsorted(begins, min(probe, words - 1), side="right")) - 1
-                    by_doc[d][k].update(b - int(begins[d]) for b in bs)
+        for width, at, keys in index.candidates(np.concatenate(block)):
+            of = np.searchsorted(ends, at, side="right")
+            inside = at + width <= ends[of]
+            for d, place, key in zip(of[inside].tolist(), at[inside].tolist(), keys[inside].tolist(), strict=True):
+                begin = place - int(ends[d]) + len(block[d])
+                for k, offset in index.entries[key]:
+                    by_doc[d][k].add(begin - offset)
         for d, items in by_doc.items():
-            found[lo + d] = _settle(index, block[d], items)
+            found[lo + d] = sorted(_settle(index, block[d], items))
         lo = hi
     return found
 

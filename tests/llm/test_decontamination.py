@@ -84,3 +84,36 @@ def test_odd_rows(spark, docs, odd, nothing, monkeypatch):
     assert [r.first_word for r in got if r.doc_id == 2] == [1, 1]
     kept = D.keep(rows, bench)
     assert kept.columns == rows.columns and [r.doc_id for r in kept.collect()] == [3]
+
+
+def edited(rng, words, edits):
+    w = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(w))
+        w[at : at + rng.choice([0, 1, 1])] = rng.choice([[], ["new"], ["new"]])
+    return w
+
+
+def test_every_passage_within_the_bound_is_found_at_every_length():
+    rng = random.Random(5)
+    vocab, _ = world(rng, 0)
+    for n in (8, 14, 19, 20, 24, 30, 36, 45, 67, 70, 80, 130):
+        bench = [[rng.choice(vocab) for _ in range(n)] for _ in range(25)]
+        index = D.Index([(k, " ".join(b).encode()) for k, b in enumerate(bench)], 20)
+        for percent in (10, 15, 20):
+            texts = [[rng.choice(vocab) for _ in range(rng.randrange(40))] + edited(rng, b, n * percent // 100) + ["end"] * 9 for b in bench]
+            found = D.search(index, [D.word_hashes(" ".join(t).encode()) for t in texts])
+            assert all(any(f[0] == k for f in fs) for k, fs in enumerate(found)), (n, percent)
+
+
+def test_search_gives_what_all_stretches_give():
+    rng = random.Random(6)
+    vocab = [f"w{k}" for k in range(12)]
+    bench = [[rng.choice(vocab) for _ in range(n)] for n in (8, 9, 10, 13, 15, 20, 21)]
+    for percent in (0, 20, 35):
+        index = D.Index([(k, " ".join(b).encode()) for k, b in enumerate(bench)], percent)
+        texts = [[rng.choice(vocab) for _ in range(rng.randrange(30))] + edited(rng, rng.choice(bench), rng.randrange(6)) + [rng.choice(vocab) for _ in range(rng.randrange(30))] for _ in range(60)]
+        docs = [D.word_hashes(" ".join(t).encode()) for t in texts]
+        for doc, got in zip(docs, D.search(index, docs), strict=True):
+            best = [(k, *D.best_stretch(h, doc)) for k, (_, h) in enumerate(index.items)]
+            assert got == [(k, a, b - a, e) for k, e, a, b in best if e <= len(bench[k]) * percent // 100]
