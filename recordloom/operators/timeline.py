@@ -45,9 +45,10 @@ def settle(events: DataFrame) -> DataFrame:
     return events.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
-def by_year(events: DataFrame, order: str = "ord") -> DataFrame:
-    """year, place, date, event, ...: the events of each year in the order of their dates, a coarser date before the finer ones."""
-    rows = spread_rank(events.withColumn("year", tx.year_of("date")), ["year"], tx.date_key("date"), [order], "place")
+def by_year(events: DataFrame, order: str = "ord", within: tuple[str, ...] = ()) -> DataFrame:
+    """year, place, date, event, ...: the events of each year (``within`` the values of further columns) in the order of
+    their dates, a coarser date before the finer ones."""
+    rows = spread_rank(events.withColumn("year", tx.year_of("date")), [*within, "year"], tx.date_key("date"), [order], "place")
     return rows.withColumn("place", F.col("place").cast("int"))
 
 
@@ -57,10 +58,20 @@ def line(date: Column, event: Column, confidence: Column) -> Column:
 
 
 def render(events: DataFrame) -> DataFrame:
-    """year, body: the timeline's text, a heading and its lines for each year."""
-    rows = by_year(events).withColumn("line", line(F.col("date"), F.col("event"), F.col("confidence")))
+    """entity_id, year, body: the text of every entity's timeline, a heading and its lines for each year. A row is as long as
+    what one entity has in one year; the timeline of all entities is ``lines``."""
+    rows = by_year(events, within=("entity_id",)).withColumn("line", line(F.col("date"), F.col("event"), F.col("confidence")))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda r: r["line"]), "\n")
-    return rows.groupBy("year").agg(body.alias("lines")).select("year", F.concat(F.lit("## "), F.col("year"), F.lit("\n\n"), F.col("lines")).alias("body"))
+    return rows.groupBy("entity_id", "year").agg(body.alias("lines")).select("entity_id", "year", F.concat(F.lit("## "), F.col("year"), F.lit("\n\n"), F.col("lines")).alias("body"))
+
+
+def lines(events: DataFrame, entities: DataFrame) -> DataFrame:
+    """year, place, line: the timeline of all entities (id, name, type), each line with a link to its entity, or the id of an
+    entity that is not listed. The lines of a year in the order of their places are its text; no year is collected."""
+    link = F.concat(F.lit("[[entities/"), F.lower("type"), F.lit("/"), F.col("id"), F.lit("|"), F.col("name"), F.lit("]]"))
+    linked = events.join(entities.select(F.col("id").alias("entity_id"), link.alias("link")), "entity_id", "left")
+    said = F.concat(F.coalesce("link", "entity_id"), F.lit(" — "), F.col("event"))
+    return by_year(linked).select("year", "place", line(F.col("date"), said, F.col("confidence")).alias("line"))
 
 
 def bursts(events: DataFrame, days: int = 7, at_least: int = 3) -> DataFrame:

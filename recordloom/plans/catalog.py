@@ -445,7 +445,28 @@ def timeline_by_year(spark, d):
 SELECT year, '## ' || year || chr(10) || chr(10) || string_agg('- **' || shown || '** — ' || event || CASE WHEN confidence IN ('', 'high') THEN '' ELSE ' *(' || confidence || ' confidence)*' END, chr(10) ORDER BY k, ord) AS body FROM e GROUP BY year""",
 )
 def timeline_rendered(spark, d):
-    return timeline.render(w.events(spark, d).where("entity_id = 'C1'"))
+    return timeline.render(w.events(spark, d).where("entity_id = 'C1'")).drop("entity_id")
+
+
+_SHOWN = f"{w.DATE_KEY} AS k, substr(date, 1, 4) AS year, CASE length(date) WHEN 10 THEN strftime(date::DATE, '%d %b %Y') WHEN 7 THEN strftime((date || '-01')::DATE, '%B %Y') ELSE date END AS shown, CASE WHEN confidence IN ('', 'high') THEN '' ELSE ' *(' || confidence || ' confidence)*' END AS note"
+
+
+@query(
+    "timeline_rendered_all",
+    f"""WITH {w.EVENTS}, e AS (SELECT *, {_SHOWN} FROM events)
+SELECT entity_id, year, '## ' || year || chr(10) || chr(10) || string_agg('- **' || shown || '** — ' || event || note, chr(10) ORDER BY k, ord) AS body FROM e GROUP BY entity_id, year""",
+)
+def timeline_rendered_all(spark, d):
+    return timeline.render(w.events(spark, d))
+
+
+@query(
+    "timeline_lines",
+    f"""WITH {w.EVENTS}, {w.ENTITIES}, e AS (SELECT *, {_SHOWN} FROM events)
+SELECT year, row_number() OVER (PARTITION BY year ORDER BY k, e.ord)::INT AS place, '- **' || shown || '** — [[entities/' || lower(type) || '/' || id || '|' || name || ']] — ' || event || note AS line FROM e JOIN entities ON id = entity_id""",
+)
+def timeline_lines(spark, d):
+    return timeline.lines(w.events(spark, d), w.entities(spark, d))
 
 
 @query("bursts", f"WITH {w.EVENTS} SELECT (DATE '1970-01-01' + (datediff('day', DATE '1970-01-01', date::DATE) // 7 * 7)::INT)::DATE AS window_start, count(DISTINCT entity_id) AS n_entities, count(*) AS n_events FROM events WHERE length(date) = 10 GROUP BY 1 HAVING count(DISTINCT entity_id) >= 3")

@@ -151,6 +151,19 @@ def test_collisions_leave_out_consumed(spark):
     assert [(r.date, r.n_raw) for r in timeline.collisions(raw, canonical, canonical).collect()] == [("2020", 1)]
 
 
+def test_timelines_hold_every_entity(spark):
+    rows = [("a", "2020-03", "Moved", "low", 1), ("b", "2020", "Founded", "high", 2), ("c", "2021-01-02", "Left", None, 3), ("a", "2020-03-01", "Paid", "", 4)]
+    events = spark.createDataFrame(rows, "entity_id string, date string, event string, confidence string, ord int")
+    got = {(r.entity_id, r.year): r.body for r in timeline.render(events).collect()}
+    assert got == {("a", "2020"): "## 2020\n\n- **March 2020** — Moved *(low confidence)*\n- **01 Mar 2020** — Paid", ("b", "2020"): "## 2020\n\n- **2020** — Founded", ("c", "2021"): "## 2021\n\n- **02 Jan 2021** — Left"}
+    entities = spark.createDataFrame([("a", "Ann", "Person"), ("b", "Bee", "Company")], "id string, name string, type string")
+    got = {(r.year, r.place): r.line for r in timeline.lines(events, entities).collect()}
+    assert got == {
+        ("2020", 1): "- **2020** — [[entities/company/b|Bee]] — Founded", ("2020", 2): "- **March 2020** — [[entities/person/a|Ann]] — Moved *(low confidence)*",
+        ("2020", 3): "- **01 Mar 2020** — [[entities/person/a|Ann]] — Paid", ("2021", 1): "- **02 Jan 2021** — c — Left",
+    }
+
+
 def test_registry_mode_excludes_itself(spark):
     sig = list(range(128))
     near = sig[:115] + [9999 + i for i in range(13)]
