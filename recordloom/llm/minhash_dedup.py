@@ -20,9 +20,10 @@ Only links inside one component are ever left untested, so components are exact
 thresholds lie 4.75 standard deviations below the matches expected at the very threshold of similarity (about 1 in 100,000
 pairs there, far fewer above it).
 
-Defined cases: null, empty and blank texts have the empty set, stand alone and are kept; a null doc_id stands in no
-other row's component unless all ids of it are null, and ``keep`` keeps it; rows that repeat a doc_id with one text go or stay together; ties are
-decided by the least doc_id; an empty table gives no rows; further columns are ignored.
+Defined cases: null, empty and blank texts have the empty set, stand alone and are kept; a null doc_id
+counts as the largest, so such a row stands for its component only if all ids of it are null; rows that repeat a doc_id with one text go or
+stay together (null ones too), rows that repeat it with other texts are judged by their own; ties are decided by the least doc_id,
+then by the digest; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 
-_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
+_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
 
 
 def matches_needed(percent: int, joined: int = 1) -> int:
@@ -72,8 +73,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _marked(documents: DataFrame) -> DataFrame:
+    """doc_id (``NO_ID`` for null), text and its hash: with the id it tells rows of one id apart."""
+    return need(documents, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+
+
 def signed(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id, size of the shingle set, its digest and its signature; both null for the empty set."""
+    """doc_id, a hash of the text, size of the shingle set, its digest and its signature; both null for the empty set."""
 
     def batch(b):
         n, digest, sig = [], [], []
@@ -82,9 +88,9 @@ def signed(documents: DataFrame, width: int) -> DataFrame:
             n.append(len(s))
             digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sig.append(signature(s) if len(s) else None)
-        return {"doc_id": b.column("doc_id"), "n": n, "digest": digest, "sig": sig}
+        return {"doc_id": b.column("doc_id"), "mark": b.column("mark"), "n": n, "digest": digest, "sig": sig}
 
-    return map_batches(need(documents, "doc_id", "text"), batch, _SIGNED)
+    return map_batches(_marked(documents), batch, _SIGNED)
 
 
 def postings(classes: DataFrame, percent: int) -> DataFrame:
@@ -119,9 +125,8 @@ def _met(posts: DataFrame, percent: int) -> DataFrame:
 
 def _sets(documents: DataFrame, classes: DataFrame, posted: DataFrame, width: int, ws: Workspace) -> DataFrame:
     """cls and the full shingle set (64-bit hashes, sorted) of each class that posts."""
-    wanted = ws.keep(posted.select("cls").distinct().join(classes.select("cls", "digest"), "cls"), "wanted")
-    texts = need(documents, "doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    rows = texts.join(_few(wanted), F.col("doc_id") == F.col("cls")).select("cls", "digest", "text")
+    wanted = ws.keep(posted.select("cls").distinct().join(classes.select("cls", "digest", "doc_id", "mark"), "cls"), "wanted")
+    rows = _marked(documents).join(_few(wanted), ["doc_id", "mark"]).select("cls", "digest", "text")
 
     def batch(b):
         out = {"cls": [], "shingles": []}
@@ -132,7 +137,10 @@ def _sets(documents: DataFrame, classes: DataFrame, posted: DataFrame, width: in
                 out["shingles"].append(s)
         return out
 
-    return map_batches(rows, batch, T.StructType([T.StructField("cls", T.LongType()), T.StructField("shingles", T.BinaryType())]))
+    found = ws.keep(map_batches(rows, batch, T.StructType([T.StructField("cls", T.LongType()), T.StructField("shingles", T.BinaryType())])), "sets")
+    # rows that repeat an id and its text give the set once each
+    held = found.agg(F.count("*").alias("n"), F.count_distinct("cls").alias("d")).first()
+    return found if held["n"] == held["d"] else ws.keep(found.dropDuplicates(["cls"]), "sets-once")
 
 
 def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -250,33 +258,43 @@ def _linked(ws: Workspace, posts: DataFrame, classes: DataFrame, sets: DataFrame
         before = left
 
 
-def members(documents: DataFrame, width: int = 5, percent: int = 80, workspace: Workspace | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links), kept, for every row."""
-    ws = workspace or Workspace(documents.sparkSession, "near-duplicates")
+def _judged(documents: DataFrame, width: int, percent: int, ws: Workspace) -> DataFrame:
+    """doc_id (``NO_ID`` for null), mark, n, label (the least doc_id of the component), kept, for every row."""
     needed = matches_needed(percent)
-    rows = ws.keep(signed(documents, width).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "signed")
-    classes = ws.keep(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("cls"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    rows = ws.keep(signed(documents, width), "signed")
+    least = F.min(F.struct("doc_id", "mark")).alias("m")
+    classes = rows.where("n > 0").groupBy("digest").agg(least, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # numbers that hold from here on, as the table is written
+    classes = ws.keep(classes.select(F.monotonically_increasing_id().alias("cls"), "digest", "m.doc_id", "m.mark", "copies", "n", "sig"), "classes")
     posts = ws.keep(_met(ws.keep(postings(classes, percent), "posted"), percent), "postings")
-    sets = ws.keep(_sets(documents, classes, posts, width, ws), "sets")
+    sets = _sets(documents, classes, posts, width, ws)
     labels = _linked(ws, posts, classes, sets, needed, percent)
-    named = classes.select("digest", "cls", "copies")
+    grouped = classes.where("copies > 1").select("cls", "digest", F.col("doc_id").alias("label"), F.lit(True).alias("first"))
     if labels is not None:
-        named = named.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("digest", "cls", "copies", F.coalesce("label", "cls").alias("label"))
-    else:
-        named = named.withColumn("label", F.col("cls"))
-    grouped = named.where("copies > 1 OR label <> cls").select("digest", "label")
-    out = rows.select("doc_id", "n", "digest").join(grouped, "digest", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    return out.select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("label", F.lit(NO_ID)).alias("component_id"), (F.col("doc_id") == F.col("label")).alias("kept")
-    )
+        named = labels.select(F.col("node").alias("cls"), F.col("label").alias("group"))
+        linked = ws.keep(classes.select("cls", "digest", "doc_id").join(named, "cls"), "linked")
+        top = linked.groupBy("group").agg(F.min(F.struct("doc_id", "digest")).alias("top"))
+        linked = linked.join(_few(ws.keep(top, "top")), "group").select("cls", "digest", F.col("top.doc_id").alias("label"), (F.col("digest") == F.col("top.digest")).alias("first"))
+        grouped = grouped.join(named, "cls", "left_anti").unionByName(linked)
+    out = rows.select("doc_id", "mark", "n", "digest").join(grouped.drop("cls"), "digest", "left")
+    kept = F.col("first").isNull() | (F.col("first") & (F.col("doc_id") == F.col("label")))
+    return out.select("doc_id", "mark", "n", F.coalesce("label", "doc_id").alias("label"), kept.alias("kept"))
+
+
+def members(documents: DataFrame, width: int = 5, percent: int = 80, workspace: Workspace | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links), kept, for every row."""
+    ws = workspace or Workspace(documents.sparkSession, "near-duplicates")
+    out = _judged(documents, width, percent, ws)
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("label", F.lit(NO_ID)).alias("component_id"), "kept")
 
 
 def keep(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that a lesser doc_id of their component stands for, with all columns. While few ids go,
-    the list of them is sent to the documents and not the documents shuffled."""
+    """The documents without those that another of their component stands for, with all columns. A row is known by its
+    doc_id and its text. While few go, the list of them is sent to the documents and not the documents shuffled."""
     ws = Workspace(documents.sparkSession, "near-duplicates")
-    gone = ws.keep(members(documents, width, percent, ws).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return documents.join(_few(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = _judged(documents, width, percent, ws).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
+    same = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__gone")) & (F.xxhash64("text") == F.col("__mark"))
+    return documents.join(_few(ws.keep(gone, "gone")), same, "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -116,6 +116,26 @@ def test_odd_rows(docs, odd, nothing):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "6", "7", "8", "None"]
 
 
+def test_rows_of_no_id_and_of_one_id_are_judged_by_their_texts(docs):
+    words = [f"u{k}" for k in range(240)]
+    first, second, third, alone, lone = (" ".join(words[k : k + 40]) for k in range(0, 200, 40))
+    near = lambda t: t + " more"
+    rows = [(None, first), (None, near(first)), (None, second), (3, near(second)), (None, alone), (7, third), (8, near(third)), (8, lone)]
+    got = {(str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in M.members(docs(rows), 2).collect() if r.doc_id is None or r.doc_id == 3}
+    assert {(c, k) for d, _, c, k in got if d == "3"} == {("3", True)}
+    kept = sorted((str(r.doc_id), r.text) for r in M.keep(docs(rows), 2).collect())
+    one = [t for d, t in kept if t in (first, near(first))]
+    assert len(one) == 1
+    assert kept == sorted([("None", one[0]), ("3", near(second)), ("None", alone), ("7", third), ("8", lone)])
+
+
+def test_repeated_rows_give_their_set_once(docs):
+    words = " ".join(f"u{k}" for k in range(40))
+    rows = [(1, words)] * 5 + [(None, words + " more")] * 4
+    got = sorted((str(r.doc_id), r.component_id, r.kept) for r in M.members(docs(rows), 2).collect())
+    assert got == [("1", 1, True)] * 5 + [("None", 1, False)] * 4
+
+
 def test_connected_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(500, 500)]
