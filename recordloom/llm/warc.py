@@ -42,6 +42,7 @@ FILE_BYTES = 256 << 20
 BLOCK_BYTES = 8 << 20
 #: A larger file's places are chained by joins over the cluster, others within one task for a file.
 CHAIN_BYTES = 4 << 30
+#: Read beyond a block for the head that begins in it; a longer one is read on.
 HEAD_BYTES = 64 << 10
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -126,7 +127,7 @@ def _records(batches, date: str):
 
 def _ends_plain(data: bytes, at: int) -> int | None:
     """Where the record that seems to begin at ``at`` ends; None if it has no whole head."""
-    end = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
+    end = data.find(b"\r\n\r\n", at)
     found = _LENGTH.search(data, at, end + 2) if end >= 0 else None
     return end + 4 + int(found[1]) + 4 if found else None
 
@@ -147,6 +148,14 @@ def places(uri: str, start: int, stop: int) -> list[tuple[int, int]]:
     data = files.read_range(uri, start, stop - start + HEAD_BYTES)
     gz = uri.endswith(".gz")
     looks, ends = (re.compile(rb"\x1f\x8b\x08\x04"), _ends_member) if gz else (_PLAIN, _ends_plain)
+    begun = None if gz else max((m.start() for m in looks.finditer(data) if m.start() < stop - start), default=None)
+    more = HEAD_BYTES
+    while begun is not None and data.find(b"\r\n\r\n", begun) < 0:
+        # the last head goes on beyond what was read
+        further = files.read_range(uri, start + len(data), more)
+        if not further:
+            break
+        data, more = data + further, 2 * more
     found = []
     for m in looks.finditer(data):
         if start + m.start() >= stop:

@@ -39,6 +39,16 @@ def test_wide_chains_are_the_same(spark, monkeypatch):
     assert sorted(map(tuple, W.boundaries(spark, ws.path("w"), listed, ws).collect())) == near
 
 
+def test_long_heads_are_read(spark, monkeypatch):
+    url = "data:" + "x" * 200_000
+    pages = spark.createDataFrame([(1, url, "a"), (2, "http://b", "b")], "page_id long, url string, html string").repartition(1)
+    for block in (64 << 20, 50_000):
+        monkeypatch.setattr(W, "BLOCK_BYTES", block)
+        ws = Workspace(spark, "warc-head")
+        got = W.read(spark, ws.path("w"), W.write(pages, ws.path("w"), ws), ws).collect()
+        assert sorted((r.page_id, r.url) for r in got) == [(1, url), (2, "http://b")]
+
+
 def test_pointer_jumping():
     at, end = np.array([0, 4, 10, 12, 20]), np.array([10, 9, 20, 99, 30])
     assert W.reachable(at, end, 30).tolist() == [True, False, True, False, True]
