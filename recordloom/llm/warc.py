@@ -214,6 +214,8 @@ def boundaries(spark: SparkSession, folder: str, listed: list[tuple[str, int]],
             for i in b.column("id").to_pylist():
                 k, start, stop = blocks[i]
                 found = places(f"{folder}/{listed[k][0]}", start, stop)
+                if start == 0 and (not found or found[0][0] != 0):
+                    found.insert(0, (-1, -1))  # so that the file is chained, and refused
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int32()), pa.array([a for a, _ in found], pa.int64()), pa.array([e for _, e in found], pa.int64())], names=["file", "at", "end"])
 
     schema = "file int, at long, end long"
@@ -229,7 +231,12 @@ def boundaries(spark: SparkSession, folder: str, listed: list[tuple[str, int]],
     edges = workspace.keep(edges, "places")
     near = edges.where(~F.col("file").isin(wide)).groupBy("file").applyInPandas(chain, schema)
     far = edges.where(F.col("file").isin(wide))
-    return near.unionByName(far.join(reachable_wide(far, workspace), ["file", "at"], "left_semi").select("file", "at", "end"))
+    met = far.join(reachable_wide(far, workspace), ["file", "at"], "left_semi").select("file", "at", "end")
+    last = {r["file"]: r["last"] for r in met.groupBy("file").agg(F.max("end").alias("last")).collect()}
+    for k in wide:
+        if last.get(k) != listed[k][1]:
+            raise ValueError(f"{listed[k][0]}: the chain breaks at {last.get(k, 0)}")
+    return near.unionByName(met)
 
 
 READ_SCHEMA = T.StructType(

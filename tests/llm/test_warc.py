@@ -49,6 +49,20 @@ def test_long_heads_are_read(spark, monkeypatch):
         assert sorted((r.page_id, r.url) for r in got) == [(1, url), (2, "http://b")]
 
 
+def test_broken_and_strange_files_are_refused_on_both_paths(spark, monkeypatch, tmp_path):
+    import gzip
+
+    record = W.page_record(1, "u", b"payload", hashlib.sha1(b"payload").digest(), None, "d")
+    files = {"a.warc": record + b"junk" + record, "b.warc.gz": gzip.compress(record)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    for most in (4 << 30, 0):
+        monkeypatch.setattr(W, "CHAIN_BYTES", most)
+        for name, data in files.items():
+            with pytest.raises(Exception, match="the chain breaks|no record at the start"):
+                W.boundaries(spark, str(tmp_path), [(name, len(data))], Workspace(spark, "warc-bad")).collect()
+
+
 def test_pointer_jumping():
     at, end = np.array([0, 4, 10, 12, 20]), np.array([10, 9, 20, 99, 30])
     assert W.reachable(at, end, 30).tolist() == [True, False, True, False, True]
