@@ -61,10 +61,10 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str, files_a_core: int = 4) -> DataFrame:
-        """Writes and rereads. A table that a shuffle has dealt to more partitions than ``files_a_core`` times the cores
-        is written by that many tasks, so that small tables do not become thousands of files."""
-        df.coalesce(max(32, files_a_core * self.spark.sparkContext.defaultParallelism)).write.mode("overwrite").parquet(self.path(name))
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes and rereads. Tasks are those of the plan, so a task's size never grows with the table; small shuffled
+        tables become few files by adaptive execution."""
+        df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
