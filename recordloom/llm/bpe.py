@@ -8,7 +8,7 @@ work is linear in the word. Compatible pairs make the sequence the one that merg
 
 Decoding is a gather: token bytes lie in one blob, an offset table says where.
 
-Defined cases: null and empty texts have no ids and decode to the empty text; special strings inside a text are the
+Defined cases: null and empty texts have no ids and decode to the empty text; very long texts are encoded whole; special strings inside a text are the
 tokens of their own that the library makes of them; repeated rows give repeated rows; an empty table gives none; further
 columns are ignored.
 """
@@ -17,16 +17,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
-
 from pyspark.sql import types as T
 
 from recordloom.llm.chunks import WordTable, blocks, byte_of_char, cuts_into_words
-from recordloom.llm.rows import map_batches, need
+from recordloom.llm.rows import held, map_batches, need
 
 #: Words in each generation of a worker's table (about 300 bytes each), and compatibility answers that it remembers.
 WORD_ENTRIES, PAIR_ENTRIES = 200_000, 500_000
@@ -192,9 +190,8 @@ class Bpe:
         return rows
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
-    return Bpe(path)
+    return held(("bpe", path), lambda: Bpe(path))
 
 
 _SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])

@@ -6,11 +6,11 @@ import hashlib
 import json
 import os
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
 from recordloom.llm.chunks import WordTable, blocks, byte_of_char, cuts_into_words
+from recordloom.llm.rows import held
 
 
 def version_digest(path: str) -> str:
@@ -74,6 +74,5 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))
