@@ -1,15 +1,18 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once for every document. The ledger keeps the measurements and one long whose bit
-``i`` is set where rule ``i`` fails. Policies are named, versioned sets of bits, so that a verdict, a new
-policy or an ablation costs one pass of bitwise arithmetic over the ledger and never the texts again.
+``i`` is set where rule ``i`` fails, beside any columns of the documents, and is written as a table. Policies are named,
+versioned sets of bits, so that a verdict, a new policy or an ablation costs one pass of bitwise arithmetic over
+the stored bits (a Parquet reader takes that column alone) and never the texts again.
 
-Defined cases: a null or empty text has no word and fails ``few_words`` only; ties cannot occur, as rules are
-plain comparisons; repeated rows give repeated ledger rows; further columns of the table are ignored.
+Defined cases: a null or empty text has no word and fails ``few_words`` only; very long texts are measured whole; ties cannot
+occur, as rules are plain comparisons; repeated rows give repeated ledger rows; an empty table gives an empty ledger, and an
+ablation or report of zeros; further columns of the table, whatever they are called, are kept by ``keep`` and else ignored.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,12 +21,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from recordloom.llm.rows import ROWS, as_bytes, map_batches, need
+from recordloom.llm.rows import as_bytes, need, slices
+from recordloom.session import Workspace
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(m, T.LongType()) for m in MEASURES])
+#: The column of a ledger: the measurements and ``fail_bits``.
+LEDGER = "__ledger"
+_MEASURED = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
 
 #: (name, condition under which a document fails). The position is the bit; a rule is never renumbered, only appended.
 RULES: tuple[tuple[str, str], ...] = (
@@ -52,7 +59,16 @@ class Policy:
 
 BASE = Policy("base", 1, ("few_words", "repeated_windows"))
 STRICT = Policy("strict", 1, tuple(BIT))
-POLICIES = (BASE, STRICT)
+#: All versions of all policies; a version is never changed, only followed by another. The second strict one lets short texts pass.
+POLICIES = (BASE, STRICT, Policy("strict", 2, tuple(r for r in BIT if r != "few_words")))
+
+
+def policy(name: str, version: int | None = None) -> Policy:
+    """A policy by name, of one version or else the latest."""
+    found = [p for p in POLICIES if p.name == name and version in (None, p.version)]
+    if not found:
+        raise KeyError(f"{name} {version or ''}".strip())
+    return max(found, key=lambda p: p.version)
 
 
 def _repeat_words(words: list[bytes]) -> int:
@@ -88,93 +104,81 @@ def _measure(text: bytes, points: int) -> tuple[int, ...]:
     return len(words), points - blanks, symbols, dup, _repeat_words(words), filled, upper, letters
 
 
-def measure(documents: DataFrame) -> DataFrame:
-    """doc_id and the measurements of every whole text."""
+def ledger(documents: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns ``carry`` of every document (all of them without it) and its ledger, a struct named ``LEDGER``."""
+    if LEDGER in documents.columns:
+        raise ValueError(f"the documents have a column {LEDGER}")
+    carry = tuple(documents.columns) if carry is None else carry
+    rows = documents if set(carry) == set(documents.columns) else need(documents, *dict.fromkeys((*carry, "text")))
+    out = T.StructType([documents.schema[c] for c in carry] + [T.StructField(LEDGER, _MEASURED)])
+    fields = to_arrow_schema(_MEASURED)
 
-    def batch(b):
-        points = pc.fill_null(pc.utf8_length(b.column("text")), 0).to_pylist()
-        rows = [_measure(t or b"", p) for t, p in zip(as_bytes(b, "text"), points, strict=True)]
-        return {"doc_id": b.column("doc_id")} | dict(zip(MEASURES, zip(*rows, strict=True), strict=True))
+    def run(batches):
+        for b in slices(batches):
+            points = pc.fill_null(pc.utf8_length(b.column("text")), 0).to_pylist()
+            found = zip(*(_measure(t or b"", p) for t, p in zip(as_bytes(b, "text"), points, strict=True)), strict=True)
+            measured = pa.StructArray.from_arrays([pa.array(m, pa.int64()) for m in found], fields=list(fields))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), measured], names=[*carry, LEDGER])
 
-    return map_batches(need(documents, "doc_id", "text"), batch, SCHEMA)
+    return rows.mapInArrow(run, out).withColumn(LEDGER, F.col(LEDGER).withField("fail_bits", fail_bits()))
 
 
 def fail_bits() -> Column:
     """The long of failure bits, from the measurements alone."""
     bits = F.lit(0).cast("long")
     for name, fails in RULES:
-        bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << BIT[name])).otherwise(F.lit(0)).cast("long"))
+        bits = bits.bitwiseOR(F.when(F.expr(re.sub(rf"\b({'|'.join(MEASURES)})\b", rf"{LEDGER}.\1", fails)), F.lit(1 << BIT[name])).otherwise(F.lit(0)).cast("long"))
     return bits
 
 
-def ledger(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, measurements, fail_bits."""
-    return measure(documents).withColumn("fail_bits", fail_bits())
+def stored(documents: DataFrame, workspace: Workspace, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """The ledger as a written table."""
+    return workspace.keep(ledger(documents, carry), "ledger")
 
 
-def passes(policy: Policy, bits: Column | None = None) -> Column:
+def passes(of: Policy) -> Column:
     """True where no rule of the policy failed."""
-    return (F.col("fail_bits") if bits is None else bits).bitwiseAND(F.lit(policy.mask).cast("long")) == 0
+    return F.col(f"{LEDGER}.fail_bits").bitwiseAND(F.lit(of.mask).cast("long")) == 0
 
 
-def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
+def ablation(rows: DataFrame, of: Policy) -> DataFrame:
     """For each rule of a policy: documents that fail it, that fail it alone (and so would return without it),
     and that the rest of the policy still rejects. One aggregation of at most a row a mask; no text is read."""
-    masks = rows.select(F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long")).alias("m")).groupBy("m").count()
-    one = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << BIT[r]).cast("long").alias("bit")) for r in policy.rules]))
-    return (
-        masks.select("m", "count", one.alias("r"))
-        .groupBy(F.col("r.rule").alias("rule"))
-        .agg(
-            F.coalesce(F.sum(F.when(F.col("m").bitwiseAND(F.col("r.bit")) != 0, F.col("count"))), F.lit(0)).alias("fails"),
-            F.coalesce(F.sum(F.when(F.col("m") == F.col("r.bit"), F.col("count"))), F.lit(0)).alias("fails_alone"),
-            F.coalesce(F.sum(F.when(F.col("m").bitwiseAND(F.bitwise_not(F.col("r.bit"))) != 0, F.col("count"))), F.lit(0)).alias("rejected_without"),
-        )
-    )
-
-
-def keep(documents: DataFrame, policy: Policy = STRICT) -> DataFrame:
-    """The documents that the policy keeps, with all their columns. The verdict is joined by a row's own
-    position in the scan's task, not by doc_id, so repeated and null ids are safe; nothing is shuffled."""
+    m, n = F.col("m"), F.col("n")
+    masks = rows.select(F.col(f"{LEDGER}.fail_bits").bitwiseAND(F.lit(of.mask).cast("long")).alias("m")).groupBy("m").agg(F.count("*").alias("n"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    one = lambda r, bit: F.struct(F.lit(r).alias("rule"), total(m.bitwiseAND(F.lit(bit)) != 0).alias("fails"), total(m == bit).alias("fails_alone"), total(m.bitwiseAND(F.lit(of.mask & ~bit)) != 0).alias("rejected_without"))
+    return masks.agg(F.array(*[one(r, 1 << BIT[r]) for r in of.rules]).alias("rules")).select(F.explode("rules").alias("r")).select("r.*")
 
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                points = pc.fill_null(pc.utf8_length(b.column("text")), 0).to_pylist()
-                good = [not (_bits(_measure(t or b"", p)) & policy.mask) for t, p in zip(as_bytes(b, "text"), points, strict=True)]
-                out = b.filter(pa.array(good, type=pa.bool_()))
-                if out.num_rows:
-                    yield out
-
-    return documents.mapInArrow(run, documents.schema)
-
-
-def _bits(m: tuple[int, ...]) -> int:
-    """``fail_bits`` for one tuple of measurements; tests hold both forms against each other."""
-    n_words, word_chars, n_symbols, n_dup, n_rep, n_lines, n_upper, n_letters = m
-    failed = (
-        n_words < 50,
-        100 * n_rep > 50 * n_words,
-        100 * n_symbols > 30 * n_words,
-        100 * n_dup > 60 * n_lines,
-        n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words),
-        100 * n_upper > 40 * n_letters,
-    )
-    return sum(1 << i for i, f in enumerate(failed) if f)
+
+def report(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
+    """policy, version, kept, rejected for each policy, in one aggregation over the stored bits."""
+    one = lambda p: F.struct(F.lit(p.name).alias("policy"), F.lit(p.version).alias("version"), F.count_if(passes(p)).alias("kept"), F.count_if(~passes(p)).alias("rejected"))
+    return rows.agg(F.array(*map(one, policies)).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
+def keep(documents: DataFrame, of: Policy = STRICT, workspace: Workspace | None = None) -> DataFrame:
+    """The documents that the policy keeps, with all their columns. The ledger is written beside the documents' columns, so a
+    row's verdict is its own whatever its id; nothing is shuffled or joined."""
+    rows = stored(documents, workspace or Workspace(documents.sparkSession, "quality"))
+    return rows.where(passes(of)).select(*[f"`{c}`" for c in documents.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: measurements, base verdict and the strict policy's verdict of every document."""
-    rows = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~passes(BASE)).alias("base_failed"), passes(STRICT).alias("kept"), "fail_bits",
-    )
+    rows = stored(spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "quality"), ("doc_id",))
+    measures = [F.col(f"{LEDGER}.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return rows.select("doc_id", *measures, (~passes(BASE)).alias("base_failed"), passes(STRICT).alias("kept"), F.col(f"{LEDGER}.fail_bits").alias("fail_bits"))
 
 
 def ablation_query(spark, sf_dir: str) -> DataFrame:
-    return ablation(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), STRICT)
+    rows = stored(spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "quality"), ("doc_id",))
+    return ablation(rows, STRICT)
+
+
+def report_query(spark, sf_dir: str) -> DataFrame:
+    rows = stored(spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "quality"), ("doc_id",))
+    return report(rows)
 
 
 _MEASURE_SQL = r"""
@@ -202,3 +206,8 @@ ABLATION_SQL = f"""WITH {_MEASURE_SQL}
 SELECT r.rule AS rule, count(*) FILTER (WHERE fail_bits & r.bit <> 0) AS fails, count(*) FILTER (WHERE fail_bits = r.bit) AS fails_alone,
   count(*) FILTER (WHERE fail_bits & (63 - r.bit) <> 0) AS rejected_without
 FROM ledger, (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('shouting', 32)) r(rule, bit) GROUP BY r.rule"""
+
+_POLICY_ROWS = ", ".join(f"('{p.name}', {p.version}, {p.mask})" for p in POLICIES)
+REPORT_SQL = f"""WITH {_MEASURE_SQL}
+SELECT p.policy AS policy, p.version AS version, count(*) FILTER (WHERE fail_bits & p.mask = 0) AS kept, count(*) FILTER (WHERE fail_bits & p.mask <> 0) AS rejected
+FROM ledger, (VALUES {_POLICY_ROWS}) p(policy, version, mask) GROUP BY 1, 2"""

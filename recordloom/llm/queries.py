@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_vote": quality_vote.query,
     "op10_minhash_dedup": minhash_dedup.query,
     "quality_rule_ablation": quality_rules.ablation_query,
+    "quality_policy_report": quality_rules.report_query,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op2_url_filter": url_filter.SQL,
     "op5_warc": warc.SQL,
     "quality_rule_ablation": quality_rules.ABLATION_SQL,
+    "quality_policy_report": quality_rules.REPORT_SQL,
 }

@@ -1,6 +1,8 @@
 import re
 
 import corpus_pipeline as C
+import duckdb
+import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -16,12 +18,15 @@ def normal(text):
 
 def plain(documents, benchmark):
     """The five stages in plain Python."""
-    rows = [(d, t) for d, t in documents if not Q._bits(Q._measure(t.encode(), len(t)))]
+    names = ", ".join(Q.MEASURES)
+    measured = ", ".join(str((d, *Q._measure(t.encode(), len(t)))) for d, t in documents)
+    bad = {d for (d,) in duckdb.sql(f"SELECT d FROM (VALUES {measured}) t(d, {names}) WHERE {' OR '.join(c for _, c in Q.RULES)}").fetchall()}
+    rows = [(d, t) for d, t in documents if d not in bad]
     stays = {d for d, _, least in brute(rows, 5) if d == least}
     items = [normal(t) for t in benchmark if len(normal(t).split()) >= 8]
     rows = [(d, t) for d, t in rows if d in stays and not any(i in normal(t) for i in items)]
     rows = [(d, re.sub(r'((?i:token) = ")[0-9a-fA-F]{40}(?=")', r"\1[SECRET]", t)) for d, t in rows]
-    library = Tokenizer.from_file(C.TOKENIZER)
+    library = Tokenizer.from_file(public_tokenizers.path(C.TOKENIZER))
     return {d: library.encode(t, add_special_tokens=False).ids for d, t in rows}
 
 
@@ -49,3 +54,16 @@ def test_clean_documents_pass_all_filters(spark, docs):
     for _, stage in C.STAGES[:3]:
         table = stage(spark, table, SF)
     assert sorted(r.doc_id for r in table.select(F.col("doc_id")).collect()) == list(range(20))
+
+
+def test_the_whole_run_on_an_empty_table(spark, nothing, tmp_path):
+    nothing.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_whole_run_on_odd_rows(spark, odd, docs, tmp_path):
+    good = " ".join(f"word{k}" for k in range(70))
+    odd.unionByName(docs([(50, good), (51, good), (None, good + " more words")])).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [r.doc_id for r in C.run(spark, str(tmp_path)).collect()] == [50]
