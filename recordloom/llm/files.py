@@ -52,6 +52,15 @@ def mapped(uri: str, dtype: np.dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
+def mounted(uri: str) -> bool:
+    return isinstance(resolve(uri)[0], afs.LocalFileSystem)
+
+
+def size(uri: str) -> int:
+    fs, path = resolve(uri)
+    return fs.get_file_info(path).size
+
+
 def read_range(uri: str, start: int, size: int) -> bytes:
     fs, path = resolve(uri)
     with fs.open_input_file(path) as f:

@@ -1,19 +1,22 @@
 """Token ids in flat binary files.
 
-Format of a folder: ``index.json`` (item type, end id, and for each shard its documents, ids and base), and for each
-shard ``NNNNN.ids`` (little-endian unsigned 16- or 32-bit ids, nothing else), ``NNNNN.off`` (signed 64-bit offsets
+Format of a folder: ``index.json`` (item type, end id, and for each shard its documents, how many of these have no id, ids and
+base), and for each shard ``NNNNN.ids`` (little-endian unsigned 16- or 32-bit ids, nothing else), ``NNNNN.off`` (signed 64-bit offsets
 of the documents within the shard, one more than documents) and ``NNNNN.doc`` (signed 64-bit doc_ids). Shards follow
 doc_id order; a document's place among all ids is the shard's base, a prefix sum over the shards, plus its offset.
 
-Defined cases: a null or empty text is the end id alone; a null doc_id sorts first and is stored as the least
-64-bit integer; repeated doc_ids stay and are ordered by text; an empty table gives an index without shards;
-further columns of the table are ignored.
+A shard has at most about ``SHARD_BYTES`` of text; smaller tables are dealt to ``SHARDS_A_CORE`` shards a core.
+
+Defined cases: a null or empty text is the end id alone; null doc_ids sort first, and the index tells how many there are, so
+that every 64-bit integer is an id; repeated doc_ids stay and are ordered by text; very long texts are encoded whole; an empty
+table gives an index without shards; further columns of the table are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from itertools import accumulate
 
 import numpy as np
@@ -25,54 +28,63 @@ from pyspark.sql import types as T
 
 from recordloom.llm import files
 from recordloom.llm.chunks import blocks
-from recordloom.llm.rows import need
+from recordloom.llm.rows import need, slices
 from recordloom.llm.tokenizer import encoder
 from recordloom.session import Workspace
 
-NO_ID = -(1 << 63)
-_SHARD = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("docs", T.LongType()), T.StructField("ids", T.LongType())])
+SHARD_BYTES, SHARDS_A_CORE, LEAST_BYTES = 256 << 20, 4, 1 << 20
+#: Ids that a reader holds at a time where the folder is not mounted.
+READ_IDS = 4 << 20
+_SHARD = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("docs", T.LongType()), T.StructField("nulls", T.LongType()), T.StructField("ids", T.LongType())])
 READ_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
 
 def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int, shards: int | None = None) -> dict:
     """Encodes every whole text and writes the folder; returns the index. Text is shuffled once, by ranges of
     doc_id; each task streams its documents to its own shard. The driver sees one row for each shard."""
-    spark = documents.sparkSession
-    n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = shards or shards_for(documents)
     files.make_dir(folder)
 
     def shard(batches):
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
-        part, offsets, ids = TaskContext.get().partitionId(), [0], []
+        part, offsets, ids, nulls = TaskContext.get().partitionId(), array("q", [0]), array("q"), 0
         name = f"{folder}/{part:05d}"
         with files.whole_file(f"{name}.ids") as out:
-            for b in batches:
+            for b in slices(batches):
                 texts = [t or "" for t in b.column("text").to_pylist()]
-                ids += [NO_ID if i is None else i for i in b.column("doc_id").to_pylist()]
+                nulls += b.column("doc_id").null_count
+                ids.extend(0 if i is None else i for i in b.column("doc_id").to_pylist())
                 for lo, hi in blocks(texts):
                     for packed in enc.packed(texts[lo:hi]):
                         out.write(packed + end)
                         offsets.append(offsets[-1] + len(packed) // enc.dtype.itemsize + 1)
         for suffix, values in ((".off", offsets), (".doc", ids)):
             with files.whole_file(name + suffix) as out:
-                out.write(np.array(values, "<i8").tobytes())
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "docs": [len(ids)], "ids": [offsets[-1]]})
+                out.write(np.frombuffer(values, np.int64).astype("<i8", copy=False).tobytes() if values else b"")
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "docs": [len(ids)], "nulls": [nulls], "ids": [offsets[-1]]})
 
     placed = need(documents, "doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    done = sorted((r.shard, r.docs, r.ids) for r in placed.mapInArrow(shard, _SHARD).collect())
-    bases = [0, *accumulate(ids for _, _, ids in done)]
+    done = sorted(tuple(r) for r in placed.mapInArrow(shard, _SHARD).collect())
+    bases = [0, *accumulate(ids for *_, ids in done)]
     index = {
         "dtype": encoder(tokenizer).dtype.str,
         "end_id": end_id,
         "ids": bases[-1],
-        "shards": [{"shard": s, "docs": d, "ids": i, "base": b} for (s, d, i), b in zip(done, bases, strict=False) if d],
+        "shards": [{"shard": s, "docs": d, "nulls": z, "ids": i, "base": b} for (s, d, z, i), b in zip(done, bases, strict=False) if d],
     }
     with files.whole_file(f"{folder}/index.json") as out:
         out.write(json.dumps(index).encode())
     return index
 
 
+def shards_for(documents: DataFrame) -> int:
+    """The number of shards, from the bytes of the texts and the cores."""
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // SHARD_BYTES), min(SHARDS_A_CORE * cores, size // LEAST_BYTES))
+
+
 def load_index(folder: str) -> dict:
     fs, path = files.resolve(f"{folder}/index.json")
     with fs.open_input_stream(path) as f:
@@ -82,12 +94,21 @@ def load_index(folder: str) -> dict:
 def documents_of(folder: str, shard: dict, dtype: str):
     """(doc_id, place among all ids, ids) of each document of a shard, from the mapped files."""
     name = f"{folder}/{shard['shard']:05d}"
-    ids, offsets, docs = files.mapped(f"{name}.ids", np.dtype(dtype)), files.mapped(f"{name}.off", np.dtype("<i8")), files.mapped(f"{name}.doc", np.dtype("<i8"))
-    if len(docs) != shard["docs"] or len(offsets) != shard["docs"] + 1 or len(ids) != shard["ids"] or offsets[-1] != shard["ids"]:
+    offsets, docs = files.mapped(f"{name}.off", np.dtype("<i8")), files.mapped(f"{name}.doc", np.dtype("<i8"))
+    size = np.dtype(dtype).itemsize
+    if len(docs) != shard["docs"] or len(offsets) != shard["docs"] + 1 or files.size(f"{name}.ids") != shard["ids"] * size or offsets[-1] != shard["ids"]:
         raise ValueError(f"{name}: its files disagree with the index")
-    for k in range(len(docs)):
-        at = int(offsets[k])
-        yield (None if docs[k] == NO_ID else int(docs[k])), shard["base"] + at, ids[at : int(offsets[k + 1])]
+    lo = 0
+    while lo < len(docs):
+        # so many documents as hold ``READ_IDS`` ids, one at least; where the folder is mounted they are only mapped
+        hi = len(docs) if files.mounted(folder) else max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + READ_IDS, side="right")) - 1)
+        first = int(offsets[lo])
+        ids = files.mapped(f"{name}.ids", np.dtype(dtype)) if files.mounted(folder) else np.frombuffer(files.read_range(f"{name}.ids", first * size, (int(offsets[hi]) - first) * size), dtype)
+        begin = 0 if files.mounted(folder) else first
+        for k in range(lo, hi):
+            at = int(offsets[k])
+            yield (None if k < shard["nulls"] else int(docs[k])), shard["base"] + at, ids[at - begin : int(offsets[k + 1]) - begin]
+        lo = hi
 
 
 def read(spark: SparkSession, folder: str, batch: int = 5000) -> DataFrame:
