@@ -1,7 +1,7 @@
 """Quality scores by votes of the nearest labelled documents in a latent-semantic space.
 
 A text becomes a vector of term weights: pairs of neighbouring byte classes (letters, capitals, digits, blanks, line
-breaks, each ASCII sign, other bytes), hashed words, and two measures of repetition, each in proportion to the number of
+breaks, each ASCII sign, other bytes), hashed words, and pairs of words by how often they come again (twice, three times or more, five or more, ...), each in proportion to the number of
 words, on a log scale, times an inverse document frequency. A truncated singular value decomposition of the labelled sample gives
 the latent space. Every document is then multiplied, in blocks, with all labelled vectors; the nearest ones vote
 with their label, weighted by a power of the cosine.
@@ -10,7 +10,7 @@ The sample is at most ``SAMPLE`` labelled rows (those with the least hash of doc
 is fitted on the driver and what is sent to each task are of a fixed size: ``SAMPLE`` x ``RANK`` and terms x ``RANK`` floats.
 No label, language, source or id enters a vector.
 
-Defined cases: a null or empty text, or one that is like no labelled document, has score 0; without any label every score is 0;
+Defined cases: very long texts are scored whole; a null or empty text, or one that is like no labelled document, has score 0; without any label every score is 0;
 a document with several labels counts with the greatest; null labels are none; repeated rows give repeated rows; ties
 between neighbours fall to the earlier one of the sample, which is ordered by doc_id; further columns are ignored.
 """
@@ -31,8 +31,7 @@ SAMPLE = 4000
 RANK = 64
 NEIGHBOURS = 9
 POWER = 8
-WORD_TERMS = 1024
-LEVELS = 12
+WORD_TERMS, AGAIN_TERMS = 1024, 8
 BLOCK = 512
 
 
@@ -56,7 +55,7 @@ def _byte_classes() -> tuple[np.ndarray, int]:
 
 
 _CLASS, _CLASSES = _byte_classes()
-TERMS = _CLASSES * _CLASSES + 2 * LEVELS + WORD_TERMS
+TERMS = _CLASSES * _CLASSES + WORD_TERMS + AGAIN_TERMS
 
 
 def terms(text: bytes | None) -> np.ndarray:
@@ -70,11 +69,12 @@ def terms(text: bytes | None) -> np.ndarray:
     pairs = _CLASSES * _CLASSES
     if len(classes) > 1:
         out[:pairs] = np.bincount(classes[:-1] * _CLASSES + classes[1:], minlength=pairs) / n
-    again = sum(map(bytes.__eq__, words, words[1:]))
-    out[pairs + min(LEVELS - 1, again * LEVELS // n)] = 1
-    out[pairs + LEVELS + min(LEVELS - 1, len(set(words)) * LEVELS // n)] = 1
-    hashed = np.fromiter(map(zlib.crc32, words), np.int64, n) % WORD_TERMS
-    out[pairs + 2 * LEVELS :] = np.bincount(hashed, minlength=WORD_TERMS) / n
+    hashes = np.fromiter(map(zlib.crc32, words), np.int64, n)
+    out[pairs : pairs + WORD_TERMS] = np.bincount(hashes % WORD_TERMS, minlength=WORD_TERMS) / n
+    follow = hashes[:-1] * 0x9E3779B1 + hashes[1:]
+    _, counts = np.unique(follow, return_counts=True)
+    often = np.minimum(np.log2(2 * counts - 1).astype(np.int64), AGAIN_TERMS - 1)
+    out[pairs + WORD_TERMS :] = np.bincount(often, weights=counts, minlength=AGAIN_TERMS) / n
     return np.log1p(20 * out)
 
 
@@ -97,12 +97,22 @@ class Model:
         out = []
         for at in range(0, len(rows), BLOCK):
             cosine = _unit(_unit(rows[at : at + BLOCK] * self.weights) @ self.axes) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = nearest(cosine, k)
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** POWER
             out.append((weight * self.labels[near]).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-9))
         return np.clip(np.concatenate(out), 0, 1)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest of each row; of equals at the border the earliest."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    border = np.take_along_axis(cosine, near, axis=1).min(axis=1, keepdims=True)
+    for r in np.flatnonzero((cosine >= border).sum(axis=1) > k):
+        above = np.flatnonzero(cosine[r] > border[r])
+        near[r] = np.concatenate([above, np.flatnonzero(cosine[r] == border[r])[: k - len(above)]])
+    return near
+
+
 def _right_vectors(rows: np.ndarray, rank: int, rounds: int = 4) -> np.ndarray:
     """Leading right singular vectors, by subspace iteration from a fixed random start."""
     span = np.random.default_rng(11).standard_normal((rows.shape[1], min(rank + 16, *rows.shape))).astype(np.float32)

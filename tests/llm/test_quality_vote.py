@@ -54,3 +54,18 @@ def test_odd_rows(spark, odd, nothing):
     assert all(r.score == 0 for r in got if r.doc_id in (1, 2, 3))
     assert V.fit(odd, labels.limit(0)) is None and {r.score for r in V.score(odd, None).collect()} == {0.0}
     assert V.score(nothing, model).count() == 0 and V.fit(nothing, labels) is None
+
+
+def test_ties_fall_to_the_earlier(spark):
+    cosine = np.array([[0.5, 0.9, 0.5, 0.5, 0.1, 0.5], [0.1, 0.2, 0.3, 0.4, 0.5, 0.6], [0.5] * 6], np.float32)
+    assert [sorted(r) for r in V.nearest(cosine, 3).tolist()] == [[0, 1, 2], [3, 4, 5], [0, 1, 2]]
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    folder = "/root/testdata/sf0.01"
+    documents, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    judged = {r.doc_id: r for r in V.query(spark, folder).collect()}
+    held = [(judged[r.doc_id].predicted, r.quality) for r in labels.collect() if judged[r.doc_id].held_out]
+    right = np.mean([p == q for p, q in held])
+    print(f"held-out accuracy {right:.4f} of {len(held)}")
+    assert right >= 0.97 and len(judged) == documents.count()
