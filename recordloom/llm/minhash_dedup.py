@@ -12,7 +12,9 @@
 4. What is left are lists of classes that share much and yet are no near copies. If few pairs are left, they are made. Else
    these lists are skipped, and their members are met through the rarest shingles of their full sets: two sets that must
    have o shingles in common share one of the first size - o + 1 of either, in any fixed order. A passage that many texts
-   share, or a text that many vary, makes long lists of coordinates, but the rarest shingles of a set seldom lie in it.
+   share, or a text that many vary, makes long lists of coordinates, but the rarest shingles of a set seldom lie in it. These
+   lists are merged around pivots in the same way. The pairs of lists that pivots make no smaller are made at last, those
+   that the positions of the shared shingle allow, in blocks of ``BLOCK`` members, so that no task takes a long list whole.
 5. Of the candidates those stay with enough equal minima, and each is then confirmed on the full sets. Pairs whose set
    sizes rule the similarity out are never made.
 
@@ -20,10 +22,11 @@ Only links inside one component are ever left untested, so components are exact
 thresholds lie 4.75 standard deviations below the matches expected at the very threshold of similarity (about 1 in 100,000
 pairs there, far fewer above it).
 
-Defined cases: null, empty and blank texts have the empty set, stand alone and are kept; a null doc_id
-counts as the largest, so such a row stands for its component only if all ids of it are null; rows that repeat a doc_id with one text go or
-stay together (null ones too), rows that repeat it with other texts are judged by their own; ties are decided by the least doc_id,
-then by the digest; an empty table gives no rows; further columns are ignored.
+Defined cases: null, empty and blank texts have the empty set, stand alone and are kept; very long texts are taken whole; a null
+doc_id comes after every integer, so such a row stands for its component only if all ids of it are null; rows that repeat a doc_id
+with one text go or stay together (null ones too), rows that repeat it with other texts are judged by their own, each in the
+component of its text; ties are decided by the least doc_id, then by the digest; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -37,20 +40,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.operators.components import components
-from recordloom.llm.rows import as_bytes, map_batches, need
+from recordloom.llm.rows import as_bytes, few, join_unique, map_batches, need
 from recordloom.llm.shingles import shingle_set
 from recordloom.session import Workspace
 
 MINIMA, JOINED = 64, 2
 COORDINATES = MINIMA // JOINED
-#: Standing for a null doc_id while ids are compared.
-NO_ID = (1 << 63) - 1
 #: Pairs that the last round may make from the coordinates' lists: so many always, and so many for each posting.
 FLOOR, PER_POSTING = 100_000, 0.25
 #: Another round of pivots follows while the last one has made the pairs that are left fewer by this factor.
 PIVOT_GAIN = 8
-#: A list of ids up to this length is sent to the tasks instead of shuffling texts or sets (8 to 24 bytes a row).
-BROADCAST_ROWS = 1_000_000
+#: Members of a list that one task pairs with others of it.
+BLOCK = 2_000
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,8 +75,17 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _marked(documents: DataFrame) -> DataFrame:
-    """doc_id (``NO_ID`` for null), text and its hash: with the id it tells rows of one id apart."""
-    return need(documents, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    """doc_id, text and its hash: with the id it tells rows of one id apart."""
+    return need(documents, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("mark"))
+
+
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["id"]) & (a["mark"] == b["of"])
+
+
+def _first(*then: str) -> Column:
+    """An order of rows by doc_id, null ones last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *then)
 
 
 def signed(documents: DataFrame, width: int) -> DataFrame:
@@ -106,10 +116,6 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
     return posted.select("cls", "n", "weight", F.explode("tokens").alias("t")).select(F.col("t.token").alias("token"), "cls", "n", "weight")
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
 def _apart(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) < percent * F.greatest(x, y)
 
@@ -125,8 +131,10 @@ def _met(posts: DataFrame, percent: int) -> DataFrame:
 
 def _sets(documents: DataFrame, classes: DataFrame, posted: DataFrame, width: int, ws: Workspace) -> DataFrame:
     """cls and the full shingle set (64-bit hashes, sorted) of each class that posts."""
-    wanted = ws.keep(posted.select("cls").distinct().join(classes.select("cls", "digest", "doc_id", "mark"), "cls"), "wanted")
-    rows = _marked(documents).join(_few(wanted), ["doc_id", "mark"]).select("cls", "digest", "text")
+    chosen = classes.select("cls", "digest", F.col("doc_id").alias("id"), F.col("mark").alias("of"))
+    wanted = ws.keep(posted.select("cls").distinct().join(chosen, "cls"), "wanted")
+    marked = _marked(documents)
+    rows = marked.join(few(wanted), _same_row(marked, wanted)).select("cls", "digest", "text")
 
     def batch(b):
         out = {"cls": [], "shingles": []}
@@ -145,8 +153,8 @@ def _sets(documents: DataFrame, classes: DataFrame, posted: DataFrame, width: in
 
 def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """a, b and the column of both. The second end brings its value along to the first, of which there are fewer."""
-    b = table.select(F.col("cls").alias("b"), F.col(column).alias(f"{column}_b")).join(_few(pairs), "b")
-    a = table.select(F.col("cls").alias("a"), F.col(column).alias(f"{column}_a")).join(_few(pairs.select("a").distinct()), "a", "left_semi")
+    b = table.select(F.col("cls").alias("b"), F.col(column).alias(f"{column}_b")).join(few(pairs), "b")
+    a = table.select(F.col("cls").alias("a"), F.col(column).alias(f"{column}_a")).join(few(pairs.select("a").distinct()), "a", "left_semi")
     return b.join(a, "a")
 
 
@@ -182,7 +190,7 @@ def _lists(rows: DataFrame) -> DataFrame:
     """token, the number of cross-label pairs, and the label that most members have, of lists with two labels or more."""
     held = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
     sums = held.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.max(F.struct("c", "label")).alias("most"))
-    return sums.where("c * c > cc").select("token", ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"), F.col("most.label").alias("major"))
+    return sums.where("c * c > cc").select("token", ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"), F.col("most.label").alias("major"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
 
 
 def _reach(n: Column, other: Column, percent: int) -> Column:
@@ -193,14 +201,14 @@ def _reach(n: Column, other: Column, percent: int) -> Column:
 def _all_pairs(rows: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """Every cross-label pair of every list: one of its ends is outside the list's most frequent label. Rows with a
     position among their rarest shingles (``at``) meet only where both positions allow the similarity."""
-    live = rows.join(lists, "token")
+    live = join_unique(rows, lists, "token").where("blocks IS NOT NULL")
     held = [c for c in ("cls", "n", "label", "at") if c in rows.columns]
-    x = live.where("label <> major").select("token", *[F.col(c).alias(f"{c}_x") for c in held])
-    y = live.select("token", "major", *[F.col(c).alias(f"{c}_y") for c in held])
+    x = live.where("label <> major").select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_x") for c in held])
+    y = live.select("token", "major", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), *[F.col(c).alias(f"{c}_y") for c in held])
     fits = (F.col("label_y") == F.col("major")) | (F.col("cls_x") < F.col("cls_y"))
     if "at" in held:
         fits &= (F.col("at_x") <= _reach(F.col("n_x"), F.col("n_y"), percent)) & (F.col("at_y") <= _reach(F.col("n_y"), F.col("n_x"), percent))
-    met = x.join(y, "token").where((F.col("label_x") != F.col("label_y")) & fits & ~_apart(F.col("n_x"), F.col("n_y"), percent))
+    met = x.join(y, ["token", "block"]).where((F.col("label_x") != F.col("label_y")) & fits & ~_apart(F.col("n_x"), F.col("n_y"), percent))
     return met.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b"))
 
 
@@ -212,7 +220,7 @@ def _rare_shingles(live: DataFrame, sets: DataFrame, percent: int, ws: Workspace
         return {"cls": b.column("cls"), "shingles": [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]}
 
     schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
-    each = map_batches(sets.join(_few(live), "cls", "left_semi"), batch, schema).select("cls", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("token"))
+    each = map_batches(sets.join(few(live), "cls", "left_semi"), batch, schema).select("cls", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     per_class = each.join(shared, "token").groupBy("cls").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
     alone = F.col("n") - F.size("tokens")  # shingles that no other class has come first
@@ -221,13 +229,14 @@ def _rare_shingles(live: DataFrame, sets: DataFrame, percent: int, ws: Workspace
     placed = per_class.select("cls", "n", alone.alias("alone"), F.posexplode(F.slice("tokens", F.lit(1), slots)).alias("k", "t"))
     posted = ws.keep(placed.select(F.col("t.token").alias("token"), "cls", "n", (F.col("alone") + F.col("k") + 1).alias("at"), F.ceil(F.col("n") * percent / 100).alias("least")), "rare")
     smallest = posted.groupBy("token").agg(F.min("n").alias("low"))
-    return posted.join(smallest, "token").where(F.col("at") <= _reach(F.col("n"), F.greatest("low", "least"), percent)).select("token", "cls", "n", "at")
+    # the larger set of a list is the better pivot, as it can hold the others
+    return posted.join(smallest, "token").where(F.col("at") <= _reach(F.col("n"), F.greatest("low", "least"), percent)).select("token", "cls", "n", "at", F.col("n").alias("weight"))
 
 
 def _linked(ws: Workspace, posts: DataFrame, classes: DataFrame, sets: DataFrame, needed: int, percent: int) -> DataFrame | None:
     """Component labels of all classes that are linked to another."""
+    labels, step, before, rare = None, 0, math.inf, False
     bound = max(FLOOR, PER_POSTING * posts.count())
-    labels, step, before = None, 0, math.inf
     while True:
         step += 1
         rows = _labelled(posts, labels)
@@ -236,34 +245,40 @@ def _linked(ws: Workspace, posts: DataFrame, classes: DataFrame, sets: DataFrame
         left = lists.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             return labels
-        last = left <= bound or left > before / PIVOT_GAIN
-        if left <= bound:
-            pairs = _all_pairs(rows, lists, percent)
-        elif last:
+        stuck = left > before / PIVOT_GAIN
+        if left > bound and stuck and not rare:
+            # the pivots of these lists make them no shorter: their members meet through the rarest shingles instead
             live = ws.keep(rows.join(lists, "token", "left_semi").select("cls").distinct(), "live")
-            rare = ws.keep(_labelled(_rare_shingles(live, sets, percent, ws), labels), "rarest")
-            pairs = _all_pairs(rare, _lists(rare), percent)
+            posts = ws.keep(_rare_shingles(live, sets, percent, ws), "rarest")
+            bound, before, rare = max(FLOOR, PER_POSTING * posts.count()), math.inf, True
+            continue
+        last = left <= bound or stuck
+        if last:
+            pairs = _all_pairs(rows, lists, percent)
         else:
             central = F.max(F.struct("weight", (-F.col("cls")).alias("order"), "cls", "n", "label")).alias("p")
-            pivots = rows.join(lists.select("token"), "token", "left_semi").groupBy("token").agg(central)
-            met = ws.keep(rows.join(pivots, "token").where("cls <> p.cls"), f"met-{step}")
+            pivots = ws.keep(rows.groupBy("token").agg(central).join(lists.select("token"), "token", "left_semi"), f"pivots-{step}")
+            met = ws.keep(join_unique(rows, pivots, "token").where("cls <> p.cls"), f"met-{step}")
             pairs = met.where((F.col("label") != F.col("p.label")) & ~_apart(F.col("n"), F.col("p.n"), percent)).select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
-            posts = met.select("token", "cls", "n", "weight")
+            posts = met.select(*posts.columns)
         links = confirmed(pairs.distinct(), classes, sets, needed, percent, ws, str(step))
         if labels is not None:
             links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = ws.keep(components(links, ws, f"links-{step}"), f"labels-{step}")
+        for name in ("pairs", "likely", "labelled", "lists", "pivots"):
+            ws.drop(f"{name}-{step}")
+        for name in ("met", "labels"):
+            ws.drop(f"{name}-{step - 1}")
         if last:
             return labels
         before = left
 
 
 def _judged(documents: DataFrame, width: int, percent: int, ws: Workspace) -> DataFrame:
-    """doc_id (``NO_ID`` for null), mark, n, label (the least doc_id of the component), kept, for every row."""
+    """doc_id, mark, n, label (the least doc_id of the component), kept, for every row."""
     needed = matches_needed(percent)
     rows = ws.keep(signed(documents, width), "signed")
-    least = F.min(F.struct("doc_id", "mark")).alias("m")
-    classes = rows.where("n > 0").groupBy("digest").agg(least, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min(_first("mark")).alias("m"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     # numbers that hold from here on, as the table is written
     classes = ws.keep(classes.select(F.monotonically_increasing_id().alias("cls"), "digest", "m.doc_id", "m.mark", "copies", "n", "sig"), "classes")
     posts = ws.keep(_met(ws.keep(postings(classes, percent), "posted"), percent), "postings")
@@ -273,19 +288,21 @@ def _judged(documents: DataFrame, width: int, percent: int, ws: Workspace) -> Da
     if labels is not None:
         named = labels.select(F.col("node").alias("cls"), F.col("label").alias("group"))
         linked = ws.keep(classes.select("cls", "digest", "doc_id").join(named, "cls"), "linked")
-        top = linked.groupBy("group").agg(F.min(F.struct("doc_id", "digest")).alias("top"))
-        linked = linked.join(_few(ws.keep(top, "top")), "group").select("cls", "digest", F.col("top.doc_id").alias("label"), (F.col("digest") == F.col("top.digest")).alias("first"))
+        top = linked.groupBy("group").agg(F.min(_first("digest")).alias("top"))
+        linked = linked.join(few(ws.keep(top, "top")), "group").select("cls", "digest", F.col("top.doc_id").alias("label"), (F.col("digest") == F.col("top.digest")).alias("first"))
         grouped = grouped.join(named, "cls", "left_anti").unionByName(linked)
-    out = rows.select("doc_id", "mark", "n", "digest").join(grouped.drop("cls"), "digest", "left")
-    kept = F.col("first").isNull() | (F.col("first") & (F.col("doc_id") == F.col("label")))
-    return out.select("doc_id", "mark", "n", F.coalesce("label", "doc_id").alias("label"), kept.alias("kept"))
+    # rows of unique texts that are linked to nothing have no group
+    out = join_unique(rows.select("doc_id", "mark", "n", "digest"), ws.keep(grouped.drop("cls"), "grouped"), "digest")
+    for name in ("posted", "postings", "wanted", "sets", "sets-once", "classes", "linked", "top", "live", "rare", "rarest"):
+        ws.drop(name)
+    kept = F.col("first").isNull() | (F.col("first") & F.col("doc_id").eqNullSafe(F.col("label")))
+    return out.select("doc_id", "mark", "n", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("label")).alias("label"), kept.alias("kept"))
 
 
 def members(documents: DataFrame, width: int = 5, percent: int = 80, workspace: Workspace | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), kept, for every row."""
     ws = workspace or Workspace(documents.sparkSession, "near-duplicates")
-    out = _judged(documents, width, percent, ws)
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("label", F.lit(NO_ID)).alias("component_id"), "kept")
+    return _judged(documents, width, percent, ws).select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), "kept")
 
 
 def keep(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -293,8 +310,9 @@ def keep(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     doc_id and its text. While few go, the list of them is sent to the documents and not the documents shuffled."""
     ws = Workspace(documents.sparkSession, "near-duplicates")
     gone = _judged(documents, width, percent, ws).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
-    same = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__gone")) & (F.xxhash64("text") == F.col("__mark"))
-    return documents.join(_few(ws.keep(gone, "gone")), same, "left_anti")
+    gone = ws.keep(gone, "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__mark"))
+    return documents.join(few(gone), same, "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

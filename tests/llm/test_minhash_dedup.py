@@ -154,3 +154,42 @@ def test_connected_components(spark):
     got = {r.node: r.label for r in components(table, Workspace(spark, "cc")).collect()}
     assert got == {x: find(x) for x in parent}
     assert components(table.limit(0), Workspace(spark, "cc")).count() == 0
+
+
+def test_every_integer_is_an_id(docs):
+    most = (1 << 63) - 1
+    rows = [(most, "a b c d"), (None, "a b c d"), (None, "e f g h"), (-most, "i j k l"), (most, None), (None, None)]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in M.members(docs(rows), 2).collect())
+    assert got == sorted([(str(most), 3, str(most), True), ("None", 3, str(most), False), ("None", 3, "None", True), (str(-most), 3, str(-most), True), (str(most), 0, str(most), True), ("None", 0, "None", True)])
+    kept = sorted((str(r.doc_id), str(r.text)) for r in M.keep(docs(rows), 2).collect())
+    assert kept == sorted((str(i), str(t)) for k, (i, t) in enumerate(rows) if k != 1)
+
+
+def test_recall_near_the_threshold_against_brute_force(docs):
+    """Pairs whose similarity lies just about 0.80: the links that the operator finds, of those that all pairs give."""
+    rng = random.Random(80)
+    rows = []
+    for k in range(220):
+        base = [f"p{k}x{j}" for j in range(rng.choice([40, 90, 200]))]
+        near = list(base)
+        for at in rng.sample(range(len(near)), max(1, round(len(near) * rng.uniform(0.05, 0.062)))):
+            near[at] = f"q{rng.randrange(10**9)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    want = {d: least for d, _, least in brute(rows, 2)}
+    got = {r.doc_id: r.component_id for r in M.members(docs(rows), 2).collect()}
+    linked = [d for d in want if want[d] != d]
+    found = [d for d in linked if got[d] == want[d]]
+    print(f"links of similarity about 0.80: {len(linked)} of 220 pairs, found {len(found)}")
+    assert 40 < len(linked) < 200 and len(found) >= 0.99 * len(linked)
+    assert all(got[d] == d for d in want if want[d] == d)
+
+
+def test_texts_around_one_template_in_blocks(docs, monkeypatch):
+    """Many unlike texts share a template, others vary it: long lists of coordinates and of shingles."""
+    rng = random.Random(81)
+    template = [f"t{k}" for k in range(80)]
+    rows = [(k, " ".join(template + [f"o{rng.randrange(60)}" for _ in range(rng.choice([4, 8, 12, 18]))])) for k in range(120)]
+    for name, value in (("FLOOR", 0), ("PER_POSTING", 0), ("BLOCK", 7)):
+        monkeypatch.setattr(M, name, value)
+    got = M.members(docs(rows), 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
