@@ -138,3 +138,38 @@ def test_changed_tokenizer_is_another(tmp_path):
     other = tmp_path / "t.json"
     other.write_bytes(open(PATH, "rb").read() + b"\n")
     assert tokenizer.version_digest(str(other)) != tokenizer.version_digest(PATH)
+
+
+def test_each_missing_text_is_encoded_once(spark, docs, tmp_path, monkeypatch):
+    seen = []
+    real = token_counts._encode
+    monkeypatch.setattr(token_counts, "_encode", lambda texts, p: seen.append(sorted(r.text for r in texts.collect())) or real(texts, p))
+    table = docs([(1, "same row")] * 50 + [(2, "alone"), (3, "two ids"), (4, "two ids"), (None, None), (None, "")]).repartition(7)
+    got = token_counts.count(table, PATH, str(tmp_path / "c"), Workspace(spark, "once")).collect()
+    assert seen == [["", "alone", "same row", "two ids"]] and len(got) == 55
+    assert {(r.doc_id, r.n_tokens) for r in got} == {(1, len(ids_of("same row"))), (2, len(ids_of("alone"))), (3, len(ids_of("two ids"))), (4, len(ids_of("two ids"))), (None, 0)}
+
+
+def test_hot_keys_join_as_others_do(spark, monkeypatch):
+    from recordloom.llm import rows
+
+    left = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k % 5}") for k in range(200)] + [(900, None), (901, "lost")], "a int, key string")
+    right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k1", 3), ("k2", 4), ("k3", 5), ("k4", 6), ("unused", 7)], "key string, v int")
+    want = sorted(map(str, left.join(right, "key", "left").select("a", "key", "v").collect()))
+    for share in (10_000, 2, 1):
+        monkeypatch.setattr(rows, "HOT_SHARE", share)
+        assert sorted(map(str, rows.join_unique(left, right, "key").select("a", "key", "v").collect())) == want
+
+
+def test_every_integer_is_an_id_and_ranges_read_the_same(spark, docs, tmp_path, monkeypatch):
+    folder = str(tmp_path / "least")
+    least = -(1 << 63)
+    token_files.write(docs([(least, "a b c"), (None, "no id"), (None, None), (5, "five " * 50), (6, "")]), PATH, folder, 2, shards=2)
+    read = lambda: sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in token_files.read(spark, folder).collect())
+    mapped = read()
+    assert sorted(d for d, *_ in mapped) == sorted(["None", "None", str(least), "5", "6"])
+    whole = [d for s in token_files.load_index(folder)["shards"] for d in token_files.documents_of(folder, s, "<u2")]
+    monkeypatch.setattr(token_files.files, "mounted", lambda uri: False)
+    monkeypatch.setattr(token_files, "READ_IDS", 20)
+    parts = [d for s in token_files.load_index(folder)["shards"] for d in token_files.documents_of(folder, s, "<u2")]
+    assert [(d, at, i.tolist()) for d, at, i in parts] == [(d, at, i.tolist()) for d, at, i in whole]
