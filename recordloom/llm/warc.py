@@ -7,11 +7,14 @@ refer to it. Tasks write the rows that they scan; the list of revisits alone is
 Reading: a file is cut into blocks, whatever they cut through. Each task reports every place of its block that looks like a
 record, and where that record would end. A page may hold such a place in its text, so a place counts only if the chain of
 ends leads to it from the start of the file; pointer jumping finds these in as many rounds as the number of records has
-binary digits. A chain that misses the end of its file is an error, as is a payload that misses its digest.
+binary digits. A chain that misses the end of its file is an error, as is a payload that misses its digest. The places that
+count are written as a table and dealt to tasks by the bytes of their records, at most ``TASK_BYTES`` to a task.
 
 Files are plain (``.warc``) or one gzip member a record (``.warc.gz``), whose extra field ``sl`` tells the lengths.
 
-Defined cases: a null html is an empty payload; a null url is written as ``about:blank``; a null page_id is kept and never
+Defined cases: a null html is an empty payload; a null url is written as ``about:blank`` and one with blanks or control
+characters in its escaped form, each with the url as it was beside it, so that it is read back as it was; very long urls and
+payloads are written and read whole; a null page_id is kept and never
 referred to; rows that repeat a page_id and its payload are equal records, all stored or all revisits; an empty table gives no
 file and no row; further columns are ignored.
 """
@@ -20,9 +23,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import struct
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -31,9 +36,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from recordloom.llm import files
-from recordloom.llm.rows import need
+from recordloom.llm.rows import few, join_unique, need
 from recordloom.session import Workspace
 
 REVISIT_BYTES = 1000
@@ -44,8 +50,12 @@ BLOCK_BYTES = 8 << 20
 CHAIN_BYTES = 4 << 30
 #: Read beyond a block for the head that begins in it; a longer one is read on.
 HEAD_BYTES = 64 << 10
+#: Bytes of files that a reading task takes, at most; small archives are dealt to ``TASKS_A_CORE`` tasks a core.
+TASK_BYTES, TASKS_A_CORE = 256 << 20, 4
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: An extension field: the url as JSON where its escaped form differs.
+AS_WAS = "X-Page-URL"
 _PLAIN = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d{1,18})\r\n", re.IGNORECASE)
 
@@ -57,8 +67,8 @@ def _record(kind: str, record_id: str, date: str, block: bytes, fields: list[tup
 
 def page_record(page_id, url, payload: bytes, digest: bytes, refers_to, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    uri = re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
-    fields = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(digest).decode()), ("Content-Type", "application/http; msgtype=response")]
+    uri = re.sub(r"[\x00-\x20\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", lambda m: "".join(f"%{c:02X}" for c in m[0].encode()), url or "about:blank")
+    fields = [("WARC-Target-URI", uri), *([] if uri == url else [(AS_WAS, json.dumps(url))]), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(digest).decode()), ("Content-Type", "application/http; msgtype=response")]
     if refers_to is None:
         return _record("response", f"urn:page:{page_id}", date, http + payload, fields)
     fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
@@ -80,7 +90,7 @@ def member(record: bytes) -> bytes:
 def _revisits(pages: DataFrame, ws: Workspace) -> DataFrame:
     slim = ws.keep(pages.where(F.col("size") >= REVISIT_BYTES).select("page_id", "digest"), "digests")
     stored = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL")
-    pairs = slim.join(stored, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    pairs = join_unique(slim, stored, "digest").where("refers_to IS NOT NULL").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     return ws.keep(pairs.select(F.col("page_id").alias("id"), F.col("digest").alias("d"), "refers_to").distinct(), "revisits")
 
 
@@ -205,26 +215,34 @@ def reachable_wide(edges: DataFrame, workspace: Workspace) -> DataFrame:
     return met
 
 
+def _tasks(spark: SparkSession, total: int, least: int = 1 << 20) -> int:
+    """Tasks for so many bytes."""
+    return max(1, -(-total // TASK_BYTES), min(TASKS_A_CORE * spark.sparkContext.defaultParallelism, total // least))
+
+
 def boundaries(spark: SparkSession, folder: str, listed: list[tuple[str, int]], workspace: Workspace) -> DataFrame:
     """file (its number in ``listed``), at, end of every record of the files."""
-    blocks = [(k, a, min(a + BLOCK_BYTES, size)) for k, (_, size) in enumerate(listed) for a in range(0, size, BLOCK_BYTES)]
+    first = np.concatenate([[0], np.cumsum([-(-size // BLOCK_BYTES) for _, size in listed])]).astype(np.int64)
+    held, block = spark.sparkContext.broadcast((listed, first)), BLOCK_BYTES
 
     def scan(batches):
+        listed, first = held.value
         for b in batches:
             for i in b.column("id").to_pylist():
-                k, start, stop = blocks[i]
-                found = places(f"{folder}/{listed[k][0]}", start, stop)
+                k = int(np.searchsorted(first, i, side="right")) - 1
+                start = (i - int(first[k])) * block
+                found = places(f"{folder}/{listed[k][0]}", start, min(start + block, listed[k][1]))
                 if start == 0 and (not found or found[0][0] != 0):
                     found.insert(0, (-1, -1))  # so that the file is chained, and refused
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int32()), pa.array([a for a, _ in found], pa.int64()), pa.array([e for _, e in found], pa.int64())], names=["file", "at", "end"])
 
     schema = "file int, at long, end long"
-    edges = spark.range(0, len(blocks), 1, max(1, len(blocks))).mapInArrow(scan, schema)
+    edges = spark.range(0, int(first[-1]), 1, _tasks(spark, sum(size for _, size in listed), block)).mapInArrow(scan, schema)
     wide = [k for k, (_, size) in enumerate(listed) if size > CHAIN_BYTES]
 
     def chain(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("at", ignore_index=True)
-        return group[reachable(group["at"].to_numpy(), group["end"].to_numpy(), listed[int(group["file"][0])][1])]
+        return group[reachable(group["at"].to_numpy(), group["end"].to_numpy(), held.value[0][int(group["file"][0])][1])]
 
     if not wide:
         return edges.groupBy("file").applyInPandas(chain, schema)
@@ -247,7 +265,7 @@ READ_SCHEMA = T.StructType(
 def parse(record: bytes) -> tuple | None:
     """A page's record as a row of ``READ_SCHEMA``; None for records that are not pages."""
     head, _, rest = record.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    fields = {k.strip(" \t").lower(): v.strip(" \t") for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
     kind = fields["warc-type"]
     if kind not in ("response", "revisit"):
         return None
@@ -256,7 +274,8 @@ def parse(record: bytes) -> tuple | None:
     if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError(f"{fields['warc-record-id']}: the payload misses its digest")
     number = lambda s: None if s is None or s.endswith(":None>") else int(s[1:-1].rpartition(":")[2])
-    return number(fields["warc-record-id"]), fields["warc-target-uri"], kind, digest, number(fields.get("warc-refers-to")), payload
+    url = json.loads(fields[AS_WAS.lower()]) if AS_WAS.lower() in fields else fields["warc-target-uri"]
+    return number(fields["warc-record-id"]), url, kind, digest, number(fields.get("warc-refers-to")), payload
 
 
 def read(spark: SparkSession, folder: str, listed: list[tuple[str, int]], workspace: Workspace, with_payload: bool = True, batch: int = 500) -> DataFrame:
@@ -266,19 +285,33 @@ def read(spark: SparkSession, folder: str, listed: list[tuple[str, int]], worksp
     schema = T.StructType([*READ_SCHEMA.fields[:-1], last])
     names = schema.fieldNames()
 
-    def rows(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
+    arrow = to_arrow_schema(schema)
+    files_held = spark.sparkContext.broadcast(listed)
 
-        held, arrow = [], to_arrow_schema(schema)
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], names=names)
+    def runs(batches):
+        """(file, start, end, records) of records that lie one after another, about a block at a time."""
+        file, start, stop, held = None, 0, 0, []
         for b in batches:
-            columns = zip(b.column("file").to_pylist(), b.column("at").to_pylist(), b.column("end").to_pylist(), strict=True)
-            opened, data = None, None
-            for k, at, end in columns:
-                if opened != k:
-                    opened, data = k, files.mapped(f"{folder}/{listed[k][0]}", np.dtype("u1"))
-                raw = data[at:end].tobytes()
-                row = parse(zlib.decompress(raw, 31) if listed[k][0].endswith(".gz") else raw)
+            for k, at, end in zip(b.column("file").to_pylist(), b.column("at").to_pylist(), b.column("end").to_pylist(), strict=True):
+                if held and (k != file or at != stop or end - start > BLOCK_BYTES):
+                    yield file, start, stop, held
+                    held = []
+                if not held:
+                    file, start = k, at
+                held.append((at, end))
+                stop = end
+        if held:
+            yield file, start, stop, held
+
+    def rows(batches):
+        held = []
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], names=names)
+        for k, start, stop, records in runs(batches):
+            name = files_held.value[k][0]
+            data = memoryview(files.read_range(f"{folder}/{name}", start, stop - start))
+            for at, end in records:
+                raw = bytes(data[at - start : end - start])
+                row = parse(zlib.decompress(raw, 31) if name.endswith(".gz") else raw)
                 if row is not None:
                     held.append(row if with_payload else (*row[:-1], None if row[-1] is None else len(row[-1])))
                 if len(held) == batch:
@@ -287,13 +320,20 @@ def read(spark: SparkSession, folder: str, listed: list[tuple[str, int]], worksp
         if held:
             yield flush()
 
-    return boundaries(spark, folder, listed, workspace).mapInArrow(rows, schema)
+    sizes = [size for _, size in listed]
+    total = sum(sizes)
+    tasks = _tasks(spark, total)
+    found = workspace.keep(boundaries(spark, folder, listed, workspace), "boundaries")
+    bases = spark.createDataFrame([(k, b) for k, b in enumerate(accumulate(sizes, initial=0)) if k < len(sizes)], "file int, base long")
+    place = F.least(F.floor((F.col("base") + F.col("at")) / F.lit(max(1, total)) * tasks), F.lit(tasks - 1)).cast("int")
+    dealt = found.join(few(bases, len(sizes)), "file").repartitionById(tasks, place).sortWithinPartitions("file", "at").select("file", "at", "end")
+    return dealt.mapInArrow(rows, schema)
 
 
 def resolved(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, where a revisit has the bytes of what it refers to."""
-    stored = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("stored"), F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("b"))
-    back = records.where("record_type = 'revisit'").join(stored, (F.col("refers_to") == F.col("stored")) & (F.col("payload_digest") == F.col("d")), "left")
+    stored = records.where("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.struct(F.col("page_id").alias("i"), F.col("payload_digest").alias("d")).alias("key")).agg(F.max("payload_bytes").alias("b"))
+    back = join_unique(records.where("record_type = 'revisit'").withColumn("key", F.struct(F.col("refers_to").alias("i"), F.col("payload_digest").alias("d"))), stored, "key")
     order = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return records.where("record_type = 'response'").select(*order).unionByName(back.withColumn("payload_bytes", F.col("b")).select(*order))
 

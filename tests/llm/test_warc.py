@@ -84,3 +84,22 @@ def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     listed = W.write(pages, ws.path("w"), ws)
     assert listed == [] and W.read(spark, ws.path("w"), listed, ws).count() == 0
+
+
+def test_urls_come_back_as_they_were(spark):
+    urls = ["http://a/ b", " \u00a0http://x\u2028", "http://b\tc\r\nEvil: 1", None, "", "about:blank", "http://plain/é", "x" * 200_000 + " y"]
+    pages = spark.createDataFrame([(k, u, f"page {k}") for k, u in enumerate(urls)], "page_id long, url string, html string").repartition(2)
+    ws = Workspace(spark, "warc-urls")
+    got = {r.page_id: r.url for r in W.read(spark, ws.path("w"), W.write(pages, ws.path("w"), ws), ws).collect()}
+    assert got == dict(enumerate(urls))
+
+
+def test_records_are_dealt_by_bytes(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, "u", f"{k} " * 20_000) for k in range(60)], "page_id long, url string, html string").repartition(2)
+    ws = Workspace(spark, "warc-dealt")
+    listed = W.write(pages, ws.path("w"), ws)
+    for task, most in ((256 << 20, 4 * spark.sparkContext.defaultParallelism), (200_000, -(-sum(n for _, n in listed) // 200_000))):
+        monkeypatch.setattr(W, "TASK_BYTES", task)
+        df = W.read(spark, ws.path("w"), listed, ws)
+        assert df.count() == 60
+        assert 1 < df.rdd.getNumPartitions() <= most
