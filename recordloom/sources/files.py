@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom import schemas
@@ -12,9 +12,20 @@ from recordloom.functions import text as tx
 SKIPPED_NAMES = (".ds_store", ".ingest-lock", "thumbs.db", "desktop.ini")
 SKIPPED_FOLDERS = ("_failed", "_skipped")
 DIRECT_TEXT = ("txt", "csv", "md")
+#: Kinds that are no text: a converter makes pages of them.
+CONVERTED = ("pdf", "docx", "pptx", "xlsx", "png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp", "gif", "wav", "mp3", "m4a", "ogg", "flac", "mp4", "mov", "avi", "mkv", "webm")
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def as_text(content: str) -> Column:
+    """Bytes as UTF-8; what is none becomes the replacement character."""
+    return F.make_valid_utf8(F.col(content).cast("string"))
+
+
+def suffix_of(path: str) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+
+
+def incoming(df: DataFrame) -> DataFrame:
     parts = F.split(F.lower("path"), "/")
     name = F.element_at(parts, -1)
     inside = F.exists(parts, lambda p: p.isin(*SKIPPED_FOLDERS))
@@ -24,18 +35,17 @@ def _kept(df: DataFrame) -> DataFrame:
 def find(spark: SparkSession, folder: str) -> DataFrame:
     """path, modificationTime, length of the incoming files below a folder; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return _kept(files.select("path", "modificationTime", "length"))
+    return incoming(files.select("path", "modificationTime", "length"))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """path, sha256, kind, pages of the incoming files: text files are one page, web pages their readable text; other kinds
     have no pages here and are left to a converter (``convert``)."""
-    files = _kept(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    raw = F.coalesce(text, F.decode("content", "ISO-8859-1"))
+    files = incoming(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
+    suffix = suffix_of("path")
+    raw = as_text("content")
     one = lambda c: F.array(F.struct(F.lit(1).alias("page"), c.alias("markdown")))
-    pages = F.when(suffix.isin("html", "xhtml", "htm"), one(tx.html_text(raw))).when(suffix.isin("pdf", "docx", "pptx", "xlsx"), F.lit(None)).otherwise(one(raw))
+    pages = F.when(suffix.isin("html", "xhtml", "htm"), one(tx.html_text(raw))).when(suffix.isin(*CONVERTED), F.lit(None)).otherwise(one(raw))
     return files.select("path", F.sha2("content", 256).alias("sha256"), suffix.alias("kind"), pages.alias("pages"), "content")
 
 

@@ -19,25 +19,41 @@ class Store:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    def version(self) -> int:
+    def _pointer(self) -> tuple[int, dict[str, int]]:
+        """The current version, and for each table the version whose files it is."""
         path = f"{self.root}/_pointer"
-        return self.spark.read.schema("version long").json(path).agg(F.max("version")).first()[0] if self._exists(path) else 0
+        if not self._exists(path):
+            return 0, {}
+        last = self.spark.read.schema("version long, tables map<string,long>").json(path).orderBy(F.desc("version")).first()
+        return (last["version"], last["tables"] or {}) if last else (0, {})
+
+    def version(self) -> int:
+        return self._pointer()[0]
 
     def commit(self, **tables: DataFrame) -> int:
-        """Writes all tables of the next snapshot, then the pointer."""
-        version = self.version() + 1
+        """Writes the tables of the next snapshot, then the pointer; tables that are not given stay as they are."""
+        version, known = self._pointer()
+        version += 1
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/snapshot={version}/{name}")
-        self.spark.range(1).select(F.lit(version).cast("long").alias("version")).coalesce(1).write.mode("append").json(f"{self.root}/_pointer")
+        known = known | dict.fromkeys(tables, version)
+        row = self.spark.createDataFrame([(version, known)], "version long, tables map<string,long>")
+        row.coalesce(1).write.mode("append").json(f"{self.root}/_pointer")
         return version
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/snapshot={self.version()}/{name}")
+    def has(self, name: str) -> bool:
+        return name in self._pointer()[1]
 
-    def upsert(self, name: str, rows: DataFrame, key: str) -> int:
-        """A snapshot of one table in which the given rows replace those with their keys."""
-        if self.version() and self._exists(f"{self.root}/snapshot={self.version()}/{name}"):
-            rows = self.read(name).join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/snapshot={self._pointer()[1][name]}/{name}")
+
+    def upsert(self, name: str, rows: DataFrame, key: str, order: list[str] | None = None) -> int:
+        """A snapshot in which the given rows replace those of one table with their keys; by an ``order``, only where they
+        are not older than these. Other tables stay."""
+        if self.has(name):
+            held = self.read(name)
+            both = held.unionByName(rows)
+            rows = latest(both, key, order) if order else held.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
         return self.commit(**{name: rows})
 
     def append(self, name: str, rows: DataFrame) -> None:
@@ -45,8 +61,9 @@ class Store:
 
 
 def write_timeline(events: DataFrame, folder: str) -> None:
-    """One folder of lines for each date; the dates that are written again replace their own folder alone."""
-    events.withColumn("day", F.col("date")).repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").json(folder)
+    """One folder of lines for each date and document (sha256); what a document stages again replaces its own folders alone."""
+    rows = events.withColumns({"day": F.col("date"), "document": F.col("sha256")})
+    rows.repartition("day", "document").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "document").json(folder)
 
 
 def latest_by_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

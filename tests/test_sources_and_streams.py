@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.sources import files
+from recordloom.operators.lifecycle import merge_chunks
+from recordloom.sources import files, pdf
 from recordloom.sources.store import Store, write_timeline
 from recordloom.streaming import watch
 
@@ -24,7 +25,7 @@ def test_incoming_files(spark, folder):
     got = {r.path.rpartition("/in/")[2] for r in files.find(spark, folder).collect()}
     assert got == {"a.txt", "sub/b.html", "b.TXT", "bin.pdf", "latin.txt"}
     pages = {r.path.rpartition("/")[2]: r.pages for r in files.documents(spark, folder).collect()}
-    assert pages["b.html"][0].markdown == "web & page" and pages["a.txt"][0].markdown == "plain" and pages["bin.pdf"] is None and pages["latin.txt"][0].markdown == "café"
+    assert pages["b.html"][0].markdown == "web & page" and pages["a.txt"][0].markdown == "plain" and pages["bin.pdf"] is None and pages["latin.txt"][0].markdown == "caf\ufffd"
 
 
 def test_converter_failures_are_rows(spark, folder):
@@ -78,11 +79,30 @@ def test_store_snapshots(spark, tmp_path):
     assert spark.read.parquet(f"{store.root}/log").count() == 2
 
 
-def test_timeline_files_replace_their_dates_alone(spark, tmp_path):
-    out = str(tmp_path / "t")
-    write_timeline(spark.createDataFrame([("2020", "a"), ("2021", "b")], "date string, event string"), out)
-    write_timeline(spark.createDataFrame([("2021", "c")], "date string, event string"), out)
-    assert sorted(r.event for r in spark.read.json(out).collect()) == ["a", "c"]
+def test_a_table_that_changes_leaves_the_others(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    a, b = spark.createDataFrame([(1, "a")], "id long, v string"), spark.createDataFrame([(9, "z")], "id long, v string")
+    store.commit(a=a, b=b)
+    assert store.upsert("a", spark.createDataFrame([(1, "new")], "id long, v string"), "id") == 2
+    assert store.read("b").first().v == "z" and store.read("a").first().v == "new" and store.has("b") and not store.has("c")
+    store.commit(b=a)
+    assert store.read("a").first().v == "new" and store.read("b").first().v == "a"
+
+
+def test_older_rows_do_not_replace_newer_ones(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    sink = watch.upsert_sink(store, "t", "id", ["at"])
+    ddl = "id long, at long, v string"
+    for number, rows in enumerate(([(1, 5, "five")], [(1, 3, "three"), (2, 1, "one")], [(1, 5, "five")])):
+        sink(spark.createDataFrame(rows, ddl), number)
+    assert sorted((r.id, r.v) for r in store.read("t").collect()) == [(1, "five"), (2, "one")]
+
+
+def test_timeline_files_are_of_a_date_and_a_document(spark, tmp_path):
+    out, ddl = str(tmp_path / "t"), "sha256 string, date string, event string"
+    for rows in ([("s1", "2020", "a"), ("s1", "2021", "b")], [("s2", "2020", "c")], [("s1", "2020", "d")]):
+        write_timeline(spark.createDataFrame(rows, ddl), out)
+    assert sorted(r.event for r in spark.read.json(out).collect()) == ["b", "c", "d"]
 
 
 def test_watching_takes_each_file_once(spark, folder, tmp_path):
@@ -100,7 +120,9 @@ def test_watching_takes_each_file_once(spark, folder, tmp_path):
         f.write("   ")
     run()
     assert sum(seen) == first + 1
-    assert store.read("queue").where(F.col("state") == "SKIPPED").count() == 1
+    queue = {r.path.rpartition("/in/")[2]: (r.state, r.error) for r in store.read("queue").collect()}
+    assert set(queue) == {"a.txt", "sub/b.html", "b.TXT", "bin.pdf", "latin.txt", "new.txt"}
+    assert queue["new.txt"] == ("SKIPPED", None) and queue["bin.pdf"] == ("FAILED", "needs a converter")
 
 
 def test_windows_with_late_rows(spark, tmp_path):
@@ -110,3 +132,27 @@ def test_windows_with_late_rows(spark, tmp_path):
     q = watch.windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.event_type, r.n, r.total) for r in spark.table("windows").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
+
+
+class Engine:
+    """Texts whose pages are parted by form feeds; a first byte of X needs a repair."""
+
+    def page_count(self, content):
+        if content[:1] in (b"X", b"Y"):
+            raise ValueError("damaged")
+        return content.count(b"\x0c") + 1
+
+    def text(self, content, first, last):
+        return "\n".join(content.decode().split("\x0c")[first - 1 : last])
+
+    def repair(self, content):
+        return content[1:] if content[:1] == b"X" else content
+
+
+def test_pdf_files_by_an_engine(spark):
+    content = {"a": b"\x0c".join(b"page %d" % k for k in range(1, 91)), "b": b"Xone", "c": b"Yone"}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in content.items()], "sha256 string, content binary")
+    seen = {r.sha256: (r.page_count, r.sample, r.repaired, r.error) for r in pdf.inspect(df, Engine()).collect()}
+    assert seen == {"a": (90, "page 1\npage 2\npage 3", False, None), "b": (1, "one", True, None), "c": (None, None, True, "damaged")}
+    merged = merge_chunks(pdf.chunks(df.where("sha256 = 'a'"), pdf.inspect(df, Engine()), Engine())).first()
+    assert [(p.page, p.markdown) for p in merged.pages] == [(k, f"page {k}") for k in range(1, 91)] and not merged.failed_chunks
