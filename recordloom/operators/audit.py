@@ -35,10 +35,45 @@ def dead_links(notes: DataFrame) -> DataFrame:
     return links.join(notes.select(F.col("note_path").alias("target")), "target", "left_anti")
 
 
-def stale_locks(locks: DataFrame, now: str) -> DataFrame:
-    """Locks of half an hour or more, or without a readable start."""
+def is_stale(now: str) -> Column:
+    """Whether a lock (started_at) is half an hour old or more, or has no readable start."""
     age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.try_to_timestamp("started_at", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))
-    return locks.where(F.coalesce(age >= STALE_SECONDS, F.lit(True)))
+    return F.coalesce(age >= STALE_SECONDS, F.lit(True))
+
+
+def stale_locks(locks: DataFrame, now: str) -> DataFrame:
+    return locks.where(is_stale(now))
+
+
+def unlock(locks: DataFrame, now: str, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The locks that stay and those that go: stale ones, or all where it is forced."""
+    gone = F.lit(True) if force else is_stale(now)
+    return locks.where(~gone), locks.where(gone)
+
+
+def orphan_temps(files: DataFrame, prefix: str = "wdg_") -> DataFrame:
+    """Temporary files (path) that a broken run left."""
+    return files.where(F.startswith(F.element_at(F.split("path", "/"), -1), F.lit(prefix)))
+
+
+def ingest_state(queue: DataFrame, locks: DataFrame, now: str) -> DataFrame:
+    """locked, n_entries: whether a lock that is not stale is held, and what waits. Without entries there is no state."""
+    locked = not locks.where(~is_stale(now)).isEmpty()
+    return queue.agg(F.lit(locked).alias("locked"), F.count("*").alias("n_entries")).where("n_entries > 0")
+
+
+def missing_permissions(wanted: DataFrame, given: DataFrame) -> DataFrame:
+    """Permissions that are wanted and not given."""
+    return wanted.select("permission").distinct().join(given.select("permission"), "permission", "left_anti")
+
+
+def doctor(spark, modules: tuple[str, ...] = ("pyspark", "pyarrow", "pandas", "numpy", "ahocorasick"), tools: tuple[str, ...] = ("java",)) -> DataFrame:
+    """what, name, present: what this installation needs and whether it is there (on the driver)."""
+    import importlib.util
+    import shutil
+
+    rows = [("module", m, importlib.util.find_spec(m) is not None) for m in modules] + [("tool", t, shutil.which(t) is not None) for t in tools]
+    return spark.createDataFrame(rows, "what string, name string, present boolean")
 
 
 def manifest_drift(registry: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -43,11 +43,22 @@ def queue_view(queue: DataFrame) -> DataFrame:
 
 
 def batches(queue: DataFrame, size: int = 5) -> DataFrame:
-    """document_type, sha256, batch, place: types in order, unknown last, ``size`` documents a batch within a type."""
-    numbered = spread_rank(queue, ["document_type"], F.substring("sha256", 1, 3), ["sha256"], "n")
+    """document_type, sha256, batch, place: one list, by type (unknown last) and sha256, cut into batches of ``size``."""
+    lead = F.struct(F.col("document_type").isNull().alias("none"), F.col("document_type").alias("type"), F.substring("sha256", 1, 3).alias("front"))
+    numbered = spread_rank(queue, [], lead, ["sha256"], "n")
     return numbered.select("document_type", "sha256", F.floor((F.col("n") - 1) / size).cast("long").alias("batch"), ((F.col("n") - 1) % size).cast("long").alias("place"))
 
 
+def by_pages(queue: DataFrame) -> DataFrame:
+    """The queue with place: the shortest first, equals by sha256."""
+    return spread_rank(queue, [], F.coalesce("page_count", F.lit(0)), ["sha256"], "place")
+
+
+def recent(rows: DataFrame, date: str, key: str, n: int = 10) -> DataFrame:
+    """The n rows with the last dates, equals by key; a top-k report."""
+    return rows.orderBy(F.desc_nulls_last(date), key).limit(n)
+
+
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
@@ -88,7 +99,7 @@ def tail(log: DataFrame, n: int, order: str) -> DataFrame:
 
 def session_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
     """agent, tokens and cost from usage (agent, model, kind, tokens) and rates (model, kind, usd a million tokens)."""
-    priced = usage.join(F.broadcast(rates), ["model", "kind"], "left")
+    priced = usage.groupBy("agent", "model", "kind").agg(F.sum("tokens").alias("tokens")).join(rates, ["model", "kind"], "left")
     return priced.groupBy("agent").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.coalesce("usd", F.lit(0.0)) / 1e6).alias("cost"))
 
 
@@ -104,6 +115,20 @@ def upsert_project(projects: DataFrame, change: DataFrame) -> DataFrame:
     return projects.join(change.select("slug"), "slug", "left_anti").unionByName(change)
 
 
+def rename_project(projects: DataFrame, old: str, new: str, locked: DataFrame) -> DataFrame:
+    """The projects with another slug for one of them, unless it is locked (slug in ``locked``) or the new one is taken."""
+    barred = locked.where(F.col("slug") == old).limit(1).count() or projects.where(F.col("slug") == new).limit(1).count()
+    if barred:
+        raise ValueError(f"{old} is locked or {new} is taken")
+    return projects.withColumn("slug", F.when(F.col("slug") == old, F.lit(new)).otherwise(F.col("slug")))
+
+
+def delete_project(projects: DataFrame, slug: str, locked: DataFrame) -> DataFrame:
+    if locked.where(F.col("slug") == slug).limit(1).count():
+        raise ValueError(f"{slug} is locked")
+    return projects.where(F.col("slug") != slug)
+
+
 def archive(projects: DataFrame, slug: str, archived: bool = True) -> DataFrame:
     return projects.withColumn("archived", F.when(F.col("slug") == slug, F.lit(archived)).otherwise(F.coalesce("archived", F.lit(False))))
 

@@ -63,16 +63,31 @@ def against_registry(candidates: DataFrame, registry: DataFrame, threshold: floa
     return full.withColumn("sim", sim).where(F.col("sim") >= threshold).withColumn("place", place).select("candidate", "registered", F.bround("sim", 4).alias("similarity"), "place")
 
 
-def jaccard_pairs(sets: DataFrame, percent: int = 85) -> DataFrame:
-    """a, b, common, either for rows (key, items: distinct) whose Jaccard similarity is at least ``percent`` %. Rows with
-    equal items should be one row."""
+def against_registry_or_shingles(candidates: DataFrame, registry: DataFrame, percent: int = 85) -> DataFrame:
+    """candidate, registered, similarity, place over a registry (key, signature, shingles) of which some rows have a signature and
+    older ones only shingles: the former by signatures, the latter by the Jaccard similarity of shingles. Candidates are (key,
+    signature, shingles)."""
+    by_signature = against_registry(candidates.where("signature IS NOT NULL").select("key", "signature"), registry.select("key", "signature"), percent / 100).drop("place")
+    old = registry.where("(signature IS NULL OR size(signature) = 0) AND size(shingles) > 0").select(F.struct(F.lit(1).alias("old"), F.col("key").alias("k")).alias("key"), F.col("shingles").alias("items"))
+    new = candidates.where("size(shingles) > 0").select(F.struct(F.lit(0).alias("old"), F.col("key").alias("k")).alias("key"), F.col("shingles").alias("items"))
+    met = jaccard_pairs(old.unionByName(new), percent, only=lambda a, b: a["old"] < b["old"])
+    by_shingles = met.select(F.col("a.k").alias("candidate"), F.col("b.k").alias("registered"), F.bround(F.col("common") / F.col("either"), 4).alias("similarity")).where("candidate <> registered")
+    from pyspark.sql import Window
+
+    both = by_signature.unionByName(by_shingles)
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("similarity"), "registered")))
+
+
+def jaccard_pairs(sets: DataFrame, percent: int = 85, only=lambda a, b: F.lit(True)) -> DataFrame:
+    """a, b, common, either for rows (key, items: distinct) whose Jaccard similarity is at least ``percent`` %, of the pairs of keys
+    a < b that ``only`` allows. Rows with equal items should be one row."""
     each = sets.select("key", F.size("items").alias("n"), F.explode("items").alias("item"))
     frequency = each.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(frequency, "item").groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("rare"))
     slots = F.greatest(F.lit(0), F.floor(F.col("n") * (100 - percent) / 100) + 1 - F.col("n") + F.size("rare")).cast("int")
     posts = shared.select("key", "n", F.explode(F.slice("rare", F.lit(1), slots)).alias("r")).select("key", "n", F.col("r.item").alias("item"))
     close = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    met = posts.alias("x").join(posts.alias("y"), "item").where((F.col("x.key") < F.col("y.key")) & close).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    met = posts.alias("x").join(posts.alias("y"), "item").where((F.col("x.key") < F.col("y.key")) & only(F.col("x.key"), F.col("y.key")) & close).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     side = lambda n: sets.select(F.col("key").alias(n), F.col("items").alias(f"i{n}"))
     both = F.size(F.array_intersect("ia", "ib"))
     full = met.join(side("a"), "a").join(side("b"), "b").withColumn("common", both).withColumn("either", F.size("ia") + F.size("ib") - both)
@@ -82,3 +97,8 @@ def jaccard_pairs(sets: DataFrame, percent: int = 85) -> DataFrame:
 def exact_groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """sha256, copies, first key of texts that occur more than once."""
     return documents.groupBy(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha256")).agg(F.count("*").alias("copies"), F.min(key).alias("first_id")).where("copies > 1")
+
+
+def known(candidates: DataFrame, registry: DataFrame) -> DataFrame:
+    """The candidates whose sha256 the registry has."""
+    return candidates.join(registry.select("sha256"), "sha256", "left_semi")

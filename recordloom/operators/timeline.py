@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as tx
+from recordloom.operators import similarity
+from recordloom.operators.components import components
 from recordloom.operators.extraction import event_key
 from recordloom.operators.ranking import spread_rank
+from recordloom.session import Workspace
 
 
 def stage(events: DataFrame) -> DataFrame:
@@ -45,13 +48,30 @@ def settle(events: DataFrame) -> DataFrame:
     return events.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
+def _front(events: DataFrame, order: str) -> Column:
+    """The front part of an order, by which long groups of one date are ranked in parts."""
+    numeric = events.schema[order].dataType.typeName() in ("long", "integer", "short", "byte")
+    return F.floor(F.col(order) / 1024) if numeric else F.lit(0).cast("long")
+
+
 def by_year(events: DataFrame, order: str = "ord", within: tuple[str, ...] = ()) -> DataFrame:
     """year, place, date, event, ...: the events of each year (``within`` the values of further columns) in the order of
     their dates, a coarser date before the finer ones."""
-    rows = spread_rank(events.withColumn("year", tx.year_of("date")), [*within, "year"], tx.date_key("date"), [order], "place")
+    rows = spread_rank(events.withColumn("year", tx.year_of("date")), [*within, "year"], F.struct(tx.date_key("date").alias("key"), _front(events, order).alias("front")), [order], "place")
     return rows.withColumn("place", F.col("place").cast("int"))
 
 
+def by_date(canonical: DataFrame, order: str = "ord") -> DataFrame:
+    """date, place, line: the second rendering of the timeline, from the promoted events: a heading for each date (place 0) and a
+    line for each of its events, with its confidence unless that is high. The lines by date and place are the text; events without
+    a date or text are skipped."""
+    kept = canonical.where((F.coalesce("date", F.lit("")) != "") & (F.coalesce("event", F.lit("")) != ""))
+    rows = spread_rank(kept, ["date"], _front(kept, order), [order], "place")
+    note = F.when(F.coalesce("confidence", F.lit("")).isin("", "high"), F.lit("")).otherwise(F.concat(F.lit(" *(confidence: "), "confidence", F.lit(")*")))
+    said = rows.select("date", F.col("place").cast("int").alias("place"), F.concat(F.lit("- "), "event", note).alias("line"))
+    return said.unionByName(kept.select("date").distinct().select("date", F.lit(0).alias("place"), F.concat(F.lit("### "), "date").alias("line")))
+
+
 def line(date: Column, event: Column, confidence: Column) -> Column:
     note = F.when(F.coalesce(confidence, F.lit("")).isin("", "high"), F.lit("")).otherwise(F.concat(F.lit(" *("), confidence, F.lit(" confidence)*")))
     return F.concat(F.lit("- **"), tx.render_date(date), F.lit("** — "), event, note)
@@ -75,11 +95,28 @@ def lines(events: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def bursts(events: DataFrame, days: int = 7, at_least: int = 3) -> DataFrame:
-    """window_start, n_entities, n_events of tumbling spans in which several entities have events (day precision)."""
-    dated = events.where(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$")).withColumn("day", F.to_date("date"))
-    start = F.date_add(F.lit("1970-01-01").cast("date"), (F.floor(F.datediff("day", F.lit("1970-01-01")) / days) * days).cast("int"))
-    out = dated.groupBy(start.alias("window_start")).agg(F.count_distinct("entity_id").alias("n_entities"), F.count("*").alias("n_events"))
-    return out.where(F.col("n_entities") >= at_least)
+    """window_start, n_entities, n_events of the spans of ``days`` from each day with an event in which several entities have
+    events (day precision). An event counts in the spans of the days before it, so no border parts a burst."""
+    day = F.to_date("date")
+    dated = events.where(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$")).groupBy(day.alias("day"), "entity_id").agg(F.count("*").alias("n"))
+    each = dated.select("entity_id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda i: F.date_sub("day", i))).alias("window_start"))
+    spans = each.groupBy("window_start").agg(F.count_distinct("entity_id").alias("n_entities"), F.sum("n").alias("n_events"))
+    return spans.join(dated.select(F.col("day").alias("window_start")).distinct(), "window_start", "left_semi").where(F.col("n_entities") >= at_least)
+
+
+def settle_alike(events: DataFrame, workspace: Workspace, percent: int = 80) -> DataFrame:
+    """``settle``, and of the events of a date whose words agree by ``percent`` (directly or through others) the longest wording too.
+    Words carry their date, so that only events of one date can share any; those alike are met through their rarest words."""
+    kept = workspace.keep(settle(events).withColumn("_id", F.monotonically_increasing_id()), "settled")
+    words = F.array_distinct(F.transform(tx.tokens("event"), lambda t: F.concat(F.col("date"), F.lit("|"), t)))
+    sets = kept.select(F.col("_id").alias("key"), words.alias("items")).where("size(items) > 0").groupBy("items").agg(F.min("key").alias("key"), F.collect_list("key").alias("keys"))
+    sets = workspace.keep(sets, "words")
+    same = sets.where("size(keys) > 1").select(F.col("key").alias("a"), F.explode("keys").alias("b"))
+    links = similarity.jaccard_pairs(sets.select("key", "items"), percent).select("a", "b").unionByName(same)
+    named = workspace.keep(components(links, workspace, "alike"), "groups")
+    grouped = kept.join(named, kept["_id"] == named["node"], "left").withColumn("_group", F.coalesce("label", "_id"))
+    w = Window.partitionBy("_group").orderBy(F.desc(F.length("event")), "event")
+    return grouped.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place", "_group", "_id", "node", "label")
 
 
 def between(events: DataFrame, low: str, high: str) -> DataFrame:

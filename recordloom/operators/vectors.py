@@ -77,32 +77,62 @@ def centroids(rows: DataFrame, label: str = "label", vector: str = "embedding")
     return made.select(F.col(label).alias("label"), normalized(F.col("mean")).alias("vector"))
 
 
-def classify(pages: DataFrame, labels: DataFrame, threshold: float = 0.65, first_pages: int = 10, key: str = "key", max_labels: int = 10_000) -> DataFrame:
+def classify(pages: DataFrame, labels: DataFrame, threshold: float = 0.65, first_pages: int = 10, key: str = "key", block: int = 10_000) -> DataFrame:
     """key, label, score: the label with the greatest cosine over a document's first pages (key, page, vector), null below
-    the threshold; ties go to the first label. Labels (label, vector) are a small dimension, which is checked, and each task
-    holds them; a page leaves its task with its best label alone."""
-    known = sorted(((r["label"], r["vector"]) for r in labels.select("label", "vector").limit(max_labels + 1).collect()), key=lambda r: str(r[0]))
-    if len(known) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
+    the threshold; ties go to the first label. Labels (label, vector) are taken in blocks, which each task holds; a page
+    leaves its task with its best label of a block alone."""
     kind, of = pages.schema[key].dataType.simpleString(), labels.schema["label"].dataType.simpleString()
-    if not known:
-        return pages.select(key).distinct().select(key, F.lit(None).cast(of).alias("label"), F.lit(None).cast("double").alias("score"))
-    held = pages.sparkSession.sparkContext.broadcast(([r[0] for r in known], np.array([r[1] for r in known], np.float64)))
+    rows, each = pages.where(F.col("page") <= first_pages).select(key, "vector"), None
+    for names, matrix in _label_blocks(labels, block):
+        held = pages.sparkSession.sparkContext.broadcast((names, matrix))
 
-    def best(batches):
-        names, matrix = held.value
-        for batch in batches:
-            batch = batch[batch["vector"].notna()]
-            if len(batch):
-                scores = np.stack(batch["vector"].to_numpy()).astype(np.float64) @ matrix.T
-                top = scores.argmax(axis=1)
-                yield pd.DataFrame({key: batch[key].to_numpy(), "label": [names[t] for t in top], "score": scores[np.arange(len(top)), top]})
+        def best(batches, held=held):
+            names, matrix = held.value
+            for batch in batches:
+                batch = batch[batch["vector"].notna()]
+                if len(batch):
+                    scores = np.stack(batch["vector"].to_numpy()).astype(np.float64) @ matrix.T
+                    top = scores.argmax(axis=1)
+                    yield pd.DataFrame({key: batch[key].to_numpy(), "label": [names[t] for t in top], "score": scores[np.arange(len(top)), top]})
 
-    each = pages.where(F.col("page") <= first_pages).select(key, "vector").mapInPandas(best, f"{key} {kind}, label {of}, score double")
+        part = rows.mapInPandas(best, f"{key} {kind}, label {of}, score double")
+        each = part if each is None else each.unionByName(part)
+    if each is None:
+        return pages.select(key).distinct().select(key, F.lit(None).cast(of).alias("label"), F.lit(None).cast("double").alias("score"))
     top = each.groupBy(key).agg(F.max("score").alias("best"), F.min_by("label", F.struct(-F.col("score"), F.col("label"))).alias("label"))
     return top.select(key, F.when(F.col("best") >= threshold, F.col("label")).alias("label"), F.col("best").alias("score"))
 
 
+def _label_blocks(labels: DataFrame, block: int):
+    """(labels, their vectors as a matrix) for each ``block`` labels, in the labels' order."""
+    held: list = []
+    for r in labels.select("label", "vector").where("vector IS NOT NULL").orderBy("label").toLocalIterator():
+        held.append((r["label"], r["vector"]))
+        if len(held) == block:
+            yield [n for n, _ in held], np.array([v for _, v in held], np.float64)
+            held = []
+    if held:
+        yield [n for n, _ in held], np.array([v for _, v in held], np.float64)
+
+
+def embed(rows: DataFrame, embedder, key: str = "key", text: str = "text", model: str = "", cache: DataFrame | None = None) -> DataFrame:
+    """key, digest, vector of every text through ``embedder(list of texts) -> array``, normalised. Vectors are kept under the digest
+    of model and text: those of ``cache`` (digest, vector) are taken from it, and equal texts are embedded once."""
+    digest = F.sha2(F.concat(F.lit(model), F.lit("\n"), F.coalesce(F.col(text), F.lit(""))), 256)
+    named = rows.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), digest.alias("digest"))
+    missing = named.dropDuplicates(["digest"]) if cache is None else named.dropDuplicates(["digest"]).join(cache.select("digest"), "digest", "left_anti")
+
+    def run(batches):
+        for batch in batches:
+            made = np.asarray(embedder(batch["text"].tolist()), np.float64).reshape(len(batch), -1)
+            made = made / np.where((norm := np.linalg.norm(made, axis=1, keepdims=True)) == 0, 1, norm)
+            yield pd.DataFrame({"digest": batch["digest"], "vector": list(made)})
+
+    found = missing.select("digest", "text").mapInPandas(run, "digest string, vector array<double>")
+    found = found if cache is None else found.unionByName(cache.select("digest", F.col("vector").cast("array<double>").alias("vector")))
+    return named.select("key", "digest").join(found, "digest").select("key", "digest", "vector")
+
+
 def upsert_index(index: DataFrame, rows: DataFrame) -> DataFrame:
     """The index with all rows of the given keys replaced."""
     return index.join(rows.select("kind", "key").distinct(), ["kind", "key"], "left_anti").unionByName(rows)
