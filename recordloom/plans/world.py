@@ -26,8 +26,9 @@ def _id(prefix: str, c: str):
 
 
 def sales(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey").distinct()
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey")
+    """o_custkey, l_suppkey, a row for each line of an order."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey").select("o_custkey", "l_suppkey")
 
 
 def appearances(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +43,8 @@ APPEARANCES = "appearances AS (SELECT 'C' || o_custkey AS id, o_orderkey AS sha2
 def roles(spark: SparkSession, d: str) -> DataFrame:
     """src_id, relationship, target_id."""
     at = lambda name, key, prefix, nation: table(spark, d, name).select(_id(prefix, key).alias("src_id"), F.lit("Located at").alias("relationship"), _id("N", nation).alias("target_id"))
-    bought = sales(spark, d).select(_id("C", "o_custkey").alias("src_id"), F.lit("Ordered from").alias("relationship"), _id("S", "l_suppkey").alias("target_id")).distinct()
+    # distinct by the keys, before they become text
+    bought = sales(spark, d).distinct().select(_id("C", "o_custkey").alias("src_id"), F.lit("Ordered from").alias("relationship"), _id("S", "l_suppkey").alias("target_id"))
     return at("supplier", "s_suppkey", "S", "s_nationkey").unionByName(at("customer", "c_custkey", "C", "c_nationkey")).unionByName(bought)
 
 

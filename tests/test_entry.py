@@ -3,11 +3,16 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
+PIPELINE = "corpus_pipeline.py"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-def test_entry_without_the_optional_package(tmp_path):
-    for name in ("recordloom", "__spark_entry__.py"):
+@pytest.mark.parametrize("with_pipeline", [False, True])
+def test_entry_without_the_optional_package(tmp_path, with_pipeline):
+    names = ("recordloom", "__spark_entry__.py", *([PIPELINE] if with_pipeline and os.path.exists(f"{ROOT}/{PIPELINE}") else []))
+    for name in names:
         copy = shutil.copytree if os.path.isdir(f"{ROOT}/{name}") else shutil.copy
         copy(f"{ROOT}/{name}", tmp_path / name)
     shutil.rmtree(tmp_path / "recordloom" / "llm", ignore_errors=True)

@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,10 +75,10 @@ def test_match_ids_move_roles(spark):
 
 
 def test_drift_is_a_fold(spark):
-    rows = [("s", 0, 0, "acme-corp", "Acme Corp", ["ACME"]), ("s", 1, 0, "acme-corp-2", "ACME  CORP", None), ("s", 1, 1, "other", "Other", []), ("s", 2, 0, "third", "Third", ["acme"]), ("t", 0, 0, "acme-corp-2", "Acme Corp", None)]
+    rows = [("s", 0, 0, "tilva-port", "Tilva Port", ["TILVA"]), ("s", 1, 0, "tilva-port-2", "TILVA  PORT", None), ("s", 1, 1, "other", "Other", []), ("s", 2, 0, "third", "Third", ["tilva"]), ("t", 0, 0, "tilva-port-2", "Tilva Port", None)]
     df = spark.createDataFrame(rows, "sha256 string, section int, ord int, id string, name string, aliases array<string>")
     got = {(r.sha256, r.id): r.final_id for r in extraction.drift(df).collect()}
-    assert got == {("s", "acme-corp"): "acme-corp", ("s", "acme-corp-2"): "acme-corp", ("s", "other"): "other", ("s", "third"): "acme-corp", ("t", "acme-corp-2"): "acme-corp-2"}
+    assert got == {("s", "tilva-port"): "tilva-port", ("s", "tilva-port-2"): "tilva-port", ("s", "other"): "other", ("s", "third"): "tilva-port", ("t", "tilva-port-2"): "tilva-port-2"}
 
 
 def test_merge_of_sections(spark):
@@ -90,7 +91,7 @@ def test_merge_of_sections(spark):
 def test_facts_and_aliases(spark):
     facts = spark.createDataFrame([("s", 0, "A" * 130), ("s", 1, "a" * 125), ("s", 2, ""), ("s", 3, "b")], "sha256 string, ord int, fact string")
     assert sorted(r.ord for r in extraction.dedup_facts(facts).collect()) == [0, 3]
-    names = spark.createDataFrame([("i", "Acme", "ACME"), ("i", "Acme", "The Co"), ("i", "Acme", "the co"), ("i", "Acme", None)], "id string, name string, alias string")
+    names = spark.createDataFrame([("i", "Tilva", "TILVA"), ("i", "Tilva", "The Co"), ("i", "Tilva", "the co"), ("i", "Tilva", None)], "id string, name string, alias string")
     assert extraction.final_aliases(names).first().aliases == ["The Co"]
 
 
@@ -192,8 +193,8 @@ def test_vectors(spark):
 
 
 def test_mentions_are_substrings(spark):
-    docs = spark.createDataFrame([(1, "The ACME corporation"), (2, None), (3, "pcmen")], "doc_id long, text string")
-    surfaces = spark.createDataFrame([("a", "acme"), ("a", "Acme Corp"), ("b", ""), ("c", "cm")], "id string, surface string")
+    docs = spark.createDataFrame([(1, "The TILVA harbour"), (2, None), (3, "pilvan")], "doc_id long, text string")
+    surfaces = spark.createDataFrame([("a", "tilva"), ("a", "Tilva Port"), ("b", ""), ("c", "ilv")], "id string, surface string")
     assert sorted((r.id, r.doc_id) for r in graph.mentions(surfaces, docs).collect()) == [("a", 1), ("c", 1), ("c", 3)]
 
 
@@ -275,4 +276,88 @@ def test_refresh_analysis_and_pending(spark):
     assert [r.line for r in lifecycle.add_analysis(none, found, "2024-01-02").collect()] == ["*2024-01-02, via [[docs/x|X]]:* said so"]
     files = spark.createDataFrame([("in/a.txt", 3), ("in/.x", 5), ("in/a.yml", 7), ("in/_FAILED/b.txt", 9), ("in/_skipped/c", 1)], "path string, length long")
     assert tuple(lifecycle.pending(files).first()) == (1, 3)
-    assert spark.range(1).select(lifecycle.morgue_path(F.lit("Acme Corp"), F.lit("Annual Report"), F.lit("f.pdf"))).first()[0] == "morgue/acme-corp/annual-report/f.pdf"
+    assert spark.range(1).select(lifecycle.morgue_path(F.lit("Tilva Port"), F.lit("Annual Report"), F.lit("f.pdf"))).first()[0] == "morgue/tilva-port/annual-report/f.pdf"
+
+
+def test_the_second_timeline(spark):
+    rows = [("2020", "Founded", "high", 1), ("2020", "Moved", "low", 2), ("2019-05", "Begun", "", 3), ("", "x", "", 4), ("2021", " ", None, 5), ("2021", None, None, 6)]
+    got = sorted((r.date, r.place, r.line) for r in timeline.by_date(spark.createDataFrame(rows, "date string, event string, confidence string, ord int")).collect())
+    assert got == [("2019-05", 0, "### 2019-05"), ("2019-05", 1, "- Begun"), ("2020", 0, "### 2020"), ("2020", 1, "- Founded"), ("2020", 2, "- Moved *(confidence: low)*"), ("2021", 0, "### 2021"), ("2021", 1, "-  ")]
+    assert timeline.by_date(spark.createDataFrame([], "date string, event string, confidence string, ord int")).count() == 0
+
+
+def test_events_alike_settle_on_the_longest(spark):
+    rows = [("2020", "The old harbour wall of Tilva fell down"), ("2020", "the harbour wall of old Tilva fell down today"), ("2020", "A new wall"), ("2021", "The old harbour wall of Tilva fell down"), ("2020", "??"), ("2020", "!!")]
+    got = sorted((r.date, r.event) for r in timeline.settle_alike(spark.createDataFrame(rows, "date string, event string"), Workspace(spark, "settle")).collect())
+    assert got == [("2020", "!!"), ("2020", "??"), ("2020", "A new wall"), ("2020", "the harbour wall of old Tilva fell down today"), ("2021", "The old harbour wall of Tilva fell down")]
+
+
+def test_registry_rows_without_a_signature_meet_by_shingles(spark):
+    sig, words = list(range(128)), [f"w{k}" for k in range(20)]
+    new = spark.createDataFrame([("n", sig, words)], "key string, signature array<long>, shingles array<string>")
+    old = spark.createDataFrame([("a", sig, None), ("b", None, words[:19] + ["x"]), ("c", [], words), ("d", None, words[:5]), ("e", [7] * 128, words), ("f", None, None)], "key string, signature array<long>, shingles array<string>")
+    got = [(r.registered, r.similarity, r.place) for r in similarity.against_registry_or_shingles(new, old).orderBy("place").collect()]
+    assert got == [("a", 1.0, 1), ("c", 1.0, 2), ("b", 0.9048, 3)]
+
+
+def test_blocks_of_surfaces_and_labels_give_the_same(spark):
+    docs = spark.createDataFrame([(k, f"text {k} of names {k % 7}") for k in range(40)], "doc_id long, text string")
+    surfaces = spark.createDataFrame([(f"i{k % 5}", f"names {k % 9}") for k in range(18)] + [("t", "text 1")], "id string, surface string")
+    whole = sorted(map(tuple, graph.mentions(surfaces, docs).collect()))
+    assert sorted(map(tuple, graph.mentions(surfaces, docs, block=100).collect())) == whole and len(whole) > 20
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(k, k % 12, rng.standard_normal(6).tolist()) for k in range(60)], "key int, page int, vector array<double>")
+    labels = spark.createDataFrame([(f"l{k % 20:02}", rng.standard_normal(6).tolist()) for k in range(20)], "label string, vector array<double>")
+    one = sorted(map(str, vectors.classify(rows, labels, 0.1).collect()))
+    assert sorted(map(str, vectors.classify(rows, labels, 0.1, block=3).collect())) == one
+    assert {r.label for r in vectors.classify(rows, labels.limit(0)).collect()} == {None}
+
+
+def test_embedding_takes_equal_texts_and_cached_ones_once(spark, tmp_path):
+    out = str(tmp_path)
+
+    def model(texts):
+        import os
+        import uuid
+
+        with open(os.path.join(out, uuid.uuid4().hex), "w") as f:
+            f.write("\n".join(texts))
+        return [[float(len(t)), 0.0] for t in texts]
+
+    rows = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, "de"), (4, ""), (5, None)], "key int, text string")
+    first = vectors.embed(rows.where("key < 3"), model, model="m").cache()
+    assert [r.vector for r in first.collect()] == [[1.0, 0.0]] * 2
+    got = {r.key: r.vector for r in vectors.embed(rows, model, model="m", cache=first.select("digest", "vector").distinct()).collect()}
+    assert got == {1: [1.0, 0.0], 2: [1.0, 0.0], 3: [1.0, 0.0], 4: [0.0, 0.0], 5: [0.0, 0.0]}
+    seen = [line for f in tmp_path.iterdir() for line in f.read_text().split("\n")]
+    assert seen.count("abc") == 1 and seen.count("de") == 1
+
+
+def test_locks_states_and_permissions(spark):
+    now = "2024-01-01T12:00:00Z"
+    locks = spark.createDataFrame([("a", "2024-01-01T11:59:00Z"), ("b", "2024-01-01T10:00:00Z"), ("c", None)], "name string, started_at string")
+    stay, gone = audit.unlock(locks, now)
+    assert [r.name for r in stay.collect()] == ["a"] and sorted(r.name for r in gone.collect()) == ["b", "c"]
+    assert audit.unlock(locks, now, force=True)[0].count() == 0
+    queue = spark.createDataFrame([("s",)], "sha256 string")
+    assert [tuple(r) for r in audit.ingest_state(queue, locks, now).collect()] == [(True, 1)]
+    assert [tuple(r) for r in audit.ingest_state(queue, gone, now).collect()] == [(False, 1)] and audit.ingest_state(queue.limit(0), locks, now).count() == 0
+    temps = spark.createDataFrame([("/v/wdg_1",), ("/v/note.md",)], "path string")
+    assert [r.path for r in audit.orphan_temps(temps).collect()] == ["/v/wdg_1"]
+    have, want = (spark.createDataFrame([(p,) for p in ps], "permission string") for ps in ("ab", "abcc"))
+    assert [r.permission for r in audit.missing_permissions(want, have).collect()] == ["c"]
+    assert {r.name: r.present for r in audit.doctor(spark, ("numpy", "no_such_module"), ("no-such-tool",)).collect()} == {"numpy": True, "no_such_module": False, "no-such-tool": False}
+    projects = spark.createDataFrame([("p",), ("q",)], "slug string")
+    free, held = spark.createDataFrame([], "slug string"), spark.createDataFrame([("p",)], "slug string")
+    assert sorted(r.slug for r in lifecycle.rename_project(projects, "p", "r", free).collect()) == ["q", "r"]
+    assert [r.slug for r in lifecycle.delete_project(projects, "p", free).collect()] == ["q"]
+    for change in (lambda: lifecycle.rename_project(projects, "p", "r", held), lambda: lifecycle.rename_project(projects, "p", "q", free), lambda: lifecycle.delete_project(projects, "p", held)):
+        with pytest.raises(ValueError):
+            change()
+
+
+def test_wide_documents_are_paired_in_blocks(spark):
+    rows = [(f"e{k:02}", d) for k in range(30) for d in range(4) if (k + d) % 3]
+    seen = spark.createDataFrame(rows, "id string, sha256 int")
+    whole = sorted(map(tuple, graph.co_occurrence(seen).collect()))
+    assert sorted(map(tuple, graph.co_occurrence(seen, block=4).collect())) == whole and len(whole) > 100

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from recordloom.plans import catalog
+from recordloom.plans import catalog, records
 
+QUERIES, ORACLE_SQL = catalog.QUERIES | records.QUERIES, catalog.ORACLE_SQL | records.ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 
 
@@ -35,16 +36,16 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows_as_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
-    want = duck.sql(catalog.ORACLE_SQL[name])
+    df = QUERIES[name](spark, SF)
+    want = duck.sql(ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
 
 
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry(spark):

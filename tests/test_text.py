@@ -13,7 +13,7 @@ def one(spark, make, value):
     "make, value, want",
     [
         (tx.normalized_name, "Ernst & Young Inc.", "ernst and young inc"),
-        (tx.normalized_name, "ACME  CORP", "acme corp"),
+        (tx.normalized_name, "TILVA  PORT", "tilva port"),
         (tx.normalized_name, "Société Générale", "société générale"),
         (tx.normalized_name, None, ""),
         (tx.slug, "  Hello, World_Again -- x! ", "hello-world-again-x"),
