@@ -33,12 +33,12 @@ def components(edges: DataFrame, workspace: Workspace, label: str = "components"
     """node, label for every node of an edge (columns a, b); label is the least node reachable. Loops and
     repeated edges are allowed; no edges give no rows."""
     u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    now = workspace.keep(edges.where("a <> b").select(u, v).distinct(), f"{label}-0")
+    now = workspace.keep_small(edges.where("a <> b").select(u, v).distinct(), f"{label}-0")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
     seen, step = mark(now), 0
     while seen[0]:
         step += 1
-        now = workspace.keep(_small(_large(now)), f"{label}-{step}")
+        now = workspace.keep_small(_small(_large(now)), f"{label}-{step}")
         workspace.drop(f"{label}-{step - 1}")
         last, seen = seen, mark(now)
         if seen == last:

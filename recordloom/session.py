@@ -67,6 +67,11 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep_small(self, df: DataFrame, name: str, files_a_core: int = 4) -> DataFrame:
+        """The same for a table out of a shuffle that is small beside the documents (edges, labels, lists of keys): it is written by a few
+        tasks a core at most, so that rounds over such tables do not make thousands of files. Never of a scan or of Python stages."""
+        return self.keep(df.coalesce(max(32, files_a_core * self.spark.sparkContext.defaultParallelism)), name)
+
     def drop(self, name: str) -> None:
         self._delete(self.path(name))
 
