@@ -160,7 +160,7 @@ def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, needed: int, percent: int, ws: Workspace, label: str) -> DataFrame:
     """The pairs (a, b) with enough coinciding coordinates whose full sets are similar enough."""
-    pairs = ws.keep(pairs, f"pairs-{label}")
+    pairs = ws.keep_small(pairs, f"pairs-{label}")
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     likely = ws.keep(_with_both(pairs, classes, "sig").where(same >= needed).select("a", "b"), f"likely-{label}")
     both = _with_both(likely, sets, "shingles")
@@ -241,7 +241,7 @@ def _linked(ws: Workspace, posts: DataFrame, classes: DataFrame, sets: DataFrame
         step += 1
         rows = _labelled(posts, labels)
         rows = rows if labels is None else ws.keep(rows, f"labelled-{step}")
-        lists = ws.keep(_lists(rows), f"lists-{step}")
+        lists = ws.keep_small(_lists(rows), f"lists-{step}")
         left = lists.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             return labels
@@ -257,14 +257,14 @@ def _linked(ws: Workspace, posts: DataFrame, classes: DataFrame, sets: DataFrame
             pairs = _all_pairs(rows, lists, percent)
         else:
             central = F.max(F.struct("weight", (-F.col("cls")).alias("order"), "cls", "n", "label")).alias("p")
-            pivots = ws.keep(rows.groupBy("token").agg(central).join(lists.select("token"), "token", "left_semi"), f"pivots-{step}")
+            pivots = ws.keep_small(rows.groupBy("token").agg(central).join(lists.select("token"), "token", "left_semi"), f"pivots-{step}")
             met = ws.keep(join_unique(rows, pivots, "token").where("cls <> p.cls"), f"met-{step}")
             pairs = met.where((F.col("label") != F.col("p.label")) & ~_apart(F.col("n"), F.col("p.n"), percent)).select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
             posts = met.select(*posts.columns)
         links = confirmed(pairs.distinct(), classes, sets, needed, percent, ws, str(step))
         if labels is not None:
             links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = ws.keep(components(links, ws, f"links-{step}"), f"labels-{step}")
+        labels = ws.keep_small(components(links, ws, f"links-{step}"), f"labels-{step}")
         for name in ("pairs", "likely", "labelled", "lists", "pivots"):
             ws.drop(f"{name}-{step}")
         for name in ("met", "labels"):
@@ -289,7 +289,7 @@ def _judged(documents: DataFrame, width: int, percent: int, ws: Workspace) -> Da
         named = labels.select(F.col("node").alias("cls"), F.col("label").alias("group"))
         linked = ws.keep(classes.select("cls", "digest", "doc_id").join(named, "cls"), "linked")
         top = linked.groupBy("group").agg(F.min(_first("digest")).alias("top"))
-        linked = linked.join(few(ws.keep(top, "top")), "group").select("cls", "digest", F.col("top.doc_id").alias("label"), (F.col("digest") == F.col("top.digest")).alias("first"))
+        linked = linked.join(few(ws.keep_small(top, "top")), "group").select("cls", "digest", F.col("top.doc_id").alias("label"), (F.col("digest") == F.col("top.digest")).alias("first"))
         grouped = grouped.join(named, "cls", "left_anti").unionByName(linked)
     # rows of unique texts that are linked to nothing have no group
     out = join_unique(rows.select("doc_id", "mark", "n", "digest"), ws.keep(grouped.drop("cls"), "grouped"), "digest")
