@@ -103,13 +103,13 @@ def signed(documents: DataFrame, width: int) -> DataFrame:
     return map_batches(_marked(documents), batch, _SIGNED)
 
 
-def postings(classes: DataFrame, percent: int) -> DataFrame:
+def postings(classes: DataFrame, percent: int, ws: Workspace) -> DataFrame:
     """token, cls, n, weight: each class under its rarest shared coordinate-value pairs, as far as its prefix reaches; weight
-    tells how shared all of its pairs are."""
+    tells how shared all of its pairs are. The counts are written first: a join of two plain exchanges splits a hot pair."""
     prefix = COORDINATES - matches_needed(percent, JOINED) + 1
     tokens = F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * JOINED + 1, JOINED)))
     each = classes.select("cls", F.explode(tokens).alias("token"))
-    shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = ws.keep_small(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     per_class = each.join(shared, "token").groupBy("cls").agg(F.sum("df").alias("weight"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
     slots = F.greatest(F.lit(0), F.lit(prefix - COORDINATES) + F.size("tokens"))
     posted = per_class.withColumn("tokens", F.slice("tokens", F.lit(1), slots)).where("size(tokens) > 0").join(classes.select("cls", "n"), "cls")
@@ -120,13 +120,13 @@ def _apart(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) < percent * F.greatest(x, y)
 
 
-def _met(posts: DataFrame, percent: int) -> DataFrame:
-    """The postings of the lists in which two members are close enough in size."""
+def _met(posts: DataFrame, percent: int, ws: Workspace) -> DataFrame:
+    """The postings of the lists in which two members are close enough in size; the lists are written, as in ``postings``."""
     sizes = posts.select("token", "n").distinct().withColumn("last", F.lag("n").over(Window.partitionBy("token").orderBy("n")))
     lists = posts.groupBy("token").agg(F.count("*").alias("c"), F.count_distinct("n").alias("d"))
     close = sizes.where(~_apart(F.col("n"), F.col("last"), percent)).select("token")
     same = lists.where("c > d").select("token")
-    return posts.join(close.unionByName(same).distinct(), "token", "left_semi")
+    return posts.join(ws.keep_small(close.unionByName(same).distinct(), "close"), "token", "left_semi")
 
 
 def _sets(documents: DataFrame, classes: DataFrame, posted: DataFrame, width: int, ws: Workspace) -> DataFrame:
@@ -221,14 +221,14 @@ def _rare_shingles(live: DataFrame, sets: DataFrame, percent: int, ws: Workspace
 
     schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
     each = map_batches(sets.join(few(live), "cls", "left_semi"), batch, schema).select("cls", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("token"))
-    shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = ws.keep_small(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-rare")
     per_class = each.join(shared, "token").groupBy("cls").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
     alone = F.col("n") - F.size("tokens")  # shingles that no other class has come first
     least = F.ceil(F.col("n") * percent / 100)
     slots = F.greatest(F.lit(0), _reach(F.col("n"), least, percent) - alone).cast("int")
     placed = per_class.select("cls", "n", alone.alias("alone"), F.posexplode(F.slice("tokens", F.lit(1), slots)).alias("k", "t"))
     posted = ws.keep(placed.select(F.col("t.token").alias("token"), "cls", "n", (F.col("alone") + F.col("k") + 1).alias("at"), F.ceil(F.col("n") * percent / 100).alias("least")), "rare")
-    smallest = posted.groupBy("token").agg(F.min("n").alias("low"))
+    smallest = ws.keep_small(posted.groupBy("token").agg(F.min("n").alias("low")), "smallest")
     # the larger set of a list is the better pivot, as it can hold the others
     return posted.join(smallest, "token").where(F.col("at") <= _reach(F.col("n"), F.greatest("low", "least"), percent)).select("token", "cls", "n", "at", F.col("n").alias("weight"))
 
@@ -281,7 +281,7 @@ def _judged(documents: DataFrame, width: int, percent: int, ws: Workspace) -> Da
     classes = rows.where("n > 0").groupBy("digest").agg(F.min(_first("mark")).alias("m"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     # numbers that hold from here on, as the table is written
     classes = ws.keep(classes.select(F.monotonically_increasing_id().alias("cls"), "digest", "m.doc_id", "m.mark", "copies", "n", "sig"), "classes")
-    posts = ws.keep(_met(ws.keep(postings(classes, percent), "posted"), percent), "postings")
+    posts = ws.keep(_met(ws.keep(postings(classes, percent, ws), "posted"), percent, ws), "postings")
     sets = _sets(documents, classes, posts, width, ws)
     labels = _linked(ws, posts, classes, sets, needed, percent)
     grouped = classes.where("copies > 1").select("cls", "digest", F.col("doc_id").alias("label"), F.lit(True).alias("first"))
@@ -293,7 +293,7 @@ def _judged(documents: DataFrame, width: int, percent: int, ws: Workspace) -> Da
         grouped = grouped.join(named, "cls", "left_anti").unionByName(linked)
     # rows of unique texts that are linked to nothing have no group
     out = join_unique(rows.select("doc_id", "mark", "n", "digest"), ws.keep(grouped.drop("cls"), "grouped"), "digest")
-    for name in ("posted", "postings", "wanted", "sets", "sets-once", "classes", "linked", "top", "live", "rare", "rarest"):
+    for name in ("shared", "shared-rare", "smallest", "close", "posted", "postings", "wanted", "sets", "sets-once", "classes", "linked", "top", "live", "rare", "rarest"):
         ws.drop(name)
     kept = F.col("first").isNull() | (F.col("first") & F.col("doc_id").eqNullSafe(F.col("label")))
     return out.select("doc_id", "mark", "n", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("label")).alias("label"), kept.alias("kept"))
