@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as tx
-from recordloom.schemas import CONFIDENCE
+from recordloom.schemas import CONFIDENCE, ENTITY, FACT, struct
 
 
 def _missing(c: Column) -> Column:
@@ -130,6 +130,52 @@ def merge_entities(entities: DataFrame) -> DataFrame:
     return grouped.select("sha256", "id", "name", "type", "summary", joined.alias("analysis"))
 
 
+def merge_sections(sections: DataFrame) -> DataFrame:
+    """One extraction for each sha256 from those of its sections (sha256, section, document, entities, morgue_entity_id,
+    morgue_document_type). The document is that of the first section that says anything of it, with the key facts of all;
+    entities under one id, or under a name that another of the document has, are one: its names, events (by date and text) and roles (by
+    relationship without case and target) are united, the first of equals stays, and entities keep the order in which they first
+    came. Entities without an id are left out; a document without entities has an empty list. What is held in a row is one
+    document's extraction."""
+    at = lambda *more: F.struct("section", *more)
+    each = sections.select("sha256", "section", F.posexplode("entities").alias("ord", "e")).where(F.coalesce("e.id", F.lit("")) != "").select("sha256", "section", "ord", "e.*")
+    final = drift(each).select("sha256", "section", "ord", "final_id")
+    said = each.join(final, ["sha256", "section", "ord"]).withColumn("id", F.col("final_id")).drop("final_id")
+
+    def united(column: str, key: Column) -> DataFrame:
+        one = said.select("sha256", "id", "section", "ord", F.posexplode(column).alias("k", "x")).groupBy("sha256", "id", key.alias("key")).agg(F.min_by("x", at("ord", "k")).alias("x"), F.min(at("ord", "k")).alias("p"))
+        return one.groupBy("sha256", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda y: y["x"]).alias(column))
+
+    merged = merge_entities(said)
+    surfaces = said.select("sha256", "id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"))
+    names = final_aliases(surfaces.join(merged.select("sha256", "id", "name"), ["sha256", "id"]).select(F.struct("sha256", "id").alias("id"), "name", "alias"))
+    came = said.groupBy("sha256", "id").agg(F.min(at("ord")).alias("came"))
+    full = merged.join(came, ["sha256", "id"]).join(names.select("id.sha256", "id.id", "aliases"), ["sha256", "id"], "left")
+    full = full.join(united("timeline_events", event_key(F.col("x.date"), F.col("x.event"))), ["sha256", "id"], "left")
+    full = full.join(united("roles", F.struct(F.lower(F.coalesce("x.relationship", F.lit(""))), "x.target_id")), ["sha256", "id"], "left")
+    kinds = {f.name: f.dataType for f in struct(ENTITY).fields}
+    empty = lambda c: F.coalesce(c, F.array().cast(kinds[c])).alias(c)
+    entity = F.struct("id", F.lit(None).cast("string").alias("match_id"), "name", "type", empty("aliases"), "summary", F.nullif("analysis", F.lit("")).alias("analysis"), empty("timeline_events"), empty("roles"))
+    entities = full.groupBy("sha256").agg(F.transform(F.sort_array(F.collect_list(F.struct("came", entity.alias("e")))), lambda y: y["e"]).alias("entities"))
+
+    facts = dedup_facts(sections.select("sha256", "section", F.posexplode("document.key_facts").alias("k", "f")).select("sha256", at("k").alias("ord"), "f.fact", "f"))
+    facts = facts.groupBy("sha256").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "f"))), lambda y: y["f"]).alias("facts"))
+    filled = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("section"))).alias(c)
+    heads = sections.groupBy("sha256").agg(F.min_by("document", F.when(F.coalesce(F.to_json("document"), F.lit("{}")) != "{}", F.col("section"))).alias("document"), filled("morgue_entity_id"), filled("morgue_document_type"))
+    whole = heads.join(entities, "sha256", "left").join(facts, "sha256", "left")
+    document = F.when(F.col("document").isNotNull(), F.col("document").withField("key_facts", F.coalesce("facts", F.array().cast(f"array<{FACT}>"))))
+    return whole.select("sha256", document.alias("document"), F.coalesce("entities", F.array().cast(f"array<{ENTITY}>")).alias("entities"), "morgue_entity_id", "morgue_document_type")
+
+
+def section_errors(wanted: DataFrame, sections: DataFrame) -> DataFrame:
+    """sha256, error of the documents (sha256) that cannot be merged: without a section, or with one that is no JSON (all of
+    whose fields are null)."""
+    lost = wanted.select("sha256").distinct().join(sections.select("sha256"), "sha256", "left_anti").select("sha256", F.lit("no section").alias("error"))
+    fields = ("document", "entities", "morgue_entity_id", "morgue_document_type")
+    broken = sections.where(" AND ".join(f"{c} IS NULL" for c in fields)).join(wanted.select("sha256"), "sha256", "left_semi")
+    return lost.unionByName(broken.groupBy("sha256").agg(F.concat(F.lit("no JSON: section "), F.min("section").cast("string")).alias("error")))
+
+
 def explode_entities(extractions: DataFrame, ordered: str = "section") -> DataFrame:
     """A row for each entity: sha256, section, ord and the entity's fields."""
     section = F.col(ordered) if ordered in extractions.columns else F.lit(0)

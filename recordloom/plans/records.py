@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recordloom import schemas
@@ -150,6 +151,37 @@ def id_drift(spark, d):
     return extraction.drift(rows).select("sha256", "id", "final_id")
 
 
+_PARTS = """x AS (SELECT o_custkey::VARCHAR AS sha256, (o_orderkey % 4)::INT AS section, o_orderkey AS ord, o_orderpriority AS p, o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '.' END AS name,
+  strftime(o_orderdate, '%Y') AS date, 'Order ' || o_orderstatus AS event, CASE WHEN o_orderkey % 2 = 0 THEN 'Near' ELSE 'NEAR' END AS relationship, 'N' || (o_orderkey % 3) AS target FROM orders)"""
+
+
+@query(
+    "section_merge",
+    f"""WITH {_PARTS},
+n AS (SELECT sha256, p, p || '-' || min(section) AS id, max(name) AS name, CASE WHEN max(name) <> min(name) THEN min(name) ELSE '' END AS aliases, min((section, ord)) AS came FROM x GROUP BY 1, 2),
+e AS (SELECT sha256, p, string_agg(date || ' ' || event || ' ' || ord, '; ' ORDER BY section, ord) AS events FROM (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY sha256, p, date, event ORDER BY section, ord) = 1) GROUP BY 1, 2),
+r AS (SELECT sha256, p, string_agg(relationship || ' ' || target, '; ' ORDER BY section, ord) AS roles FROM (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY sha256, p, target ORDER BY section, ord) = 1) GROUP BY 1, 2),
+d AS (SELECT sha256, 'T' || min(section) AS title, count(DISTINCT p)::INT AS n_facts, 'M' || (min(section) FILTER (WHERE section > 0)) AS filed FROM x GROUP BY 1)
+SELECT sha256, title, n_facts, filed, id, n.name, aliases, events, roles, (row_number() OVER (PARTITION BY sha256 ORDER BY came) - 1)::INT AS place FROM n JOIN e USING (sha256, p) JOIN r USING (sha256, p) JOIN d USING (sha256)""",
+)
+def section_merge(spark, d):
+    even, p, key = F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority"), F.col("o_orderkey")
+    section = (key % 4).cast("int")
+    text = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+    event = F.struct(F.date_format("o_orderdate", "yyyy").alias("date"), text("Order ", F.col("o_orderstatus")).alias("event"), key.cast("int").alias("page"))
+    role = F.struct(F.when(even, F.lit("Near")).otherwise(F.lit("NEAR")).alias("relationship"), text("N", (key % 3).cast("string")).alias("target_id"))
+    entity = F.struct(text(p, "-", section.cast("string")).alias("id"), text(p, F.when(even, F.lit("")).otherwise(F.lit("."))).alias("name"), F.array(event).alias("timeline_events"), F.array(role).alias("roles"))
+    rows = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("sha256"), section.alias("section")).agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), entity.alias("e"), p.alias("fact")))).alias("all"))
+    number = F.col("section").cast("string")
+    document = F.struct("sha256", text("T", number).alias("title"), F.transform("all", lambda x: F.struct(x["fact"].alias("fact"))).alias("key_facts"))
+    said = F.to_json(F.struct(document.alias("document"), F.transform("all", lambda x: x["e"]).alias("entities"), F.when(F.col("section") > 0, text("M", number)).alias("morgue_entity_id")))
+    one = extraction.merge_sections(rows.select("sha256", "section", F.from_json(said, schemas.EXTRACTION).alias("x")).select("sha256", "section", "x.*"))
+    each = one.select("sha256", F.col("document.title").alias("title"), F.size("document.key_facts").alias("n_facts"), F.col("morgue_entity_id").alias("filed"), F.posexplode("entities").alias("place", "e"))
+    events = F.array_join(F.transform("e.timeline_events", lambda x: F.concat_ws(" ", x["date"], x["event"], x["page"].cast("string"))), "; ")
+    roles = F.array_join(F.transform("e.roles", lambda x: F.concat_ws(" ", x["relationship"], x["target_id"])), "; ")
+    return each.select("sha256", "title", "n_facts", "filed", "e.id", "e.name", F.array_join("e.aliases", ", ").alias("aliases"), events.alias("events"), roles.alias("roles"), "place")
+
+
 @query("key_facts", "SELECT sha256, ord FROM (SELECT lang AS sha256, doc_id AS ord, text FROM documents WHERE text <> '') QUALIFY row_number() OVER (PARTITION BY sha256, lower(substr(text, 1, 120)) ORDER BY ord) = 1")
 def key_facts(spark, d):
     return extraction.dedup_facts(table(spark, d, "documents").select(F.col("lang").alias("sha256"), F.col("doc_id").alias("ord"), F.col("text").alias("fact"))).select("sha256", "ord")
