@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions import fingerprint as fp
+from recordloom.session import spread
 
 #: Beyond this many rows a side is shuffled, not broadcast (a signature is about 1 KB).
 BROADCAST_ROWS = 10_000
@@ -19,7 +20,7 @@ BROADCAST_ROWS = 10_000
 
 def signatures(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, signature of each text with a token."""
-    return documents.select(key, fp.signature_udf(F.col(text)).alias("signature")).where("signature IS NOT NULL")
+    return spread(documents.select(key, text)).select(key, fp.signature_udf(F.col(text)).alias("signature")).where("signature IS NOT NULL")
 
 
 def classes(signed: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -39,10 +40,19 @@ def _banded(df: DataFrame, bands: int) -> DataFrame:
     return df.select("*", F.posexplode(each).alias("band", "value"))
 
 
+def _meetings(keys: DataFrame, on: list[str], block: int = 1000) -> DataFrame:
+    """a, b of the rows (key, *on) that agree on ``on``, a < b, each pair once. What only one row has goes before the join; what
+    more than ``block`` rows share is dealt in blocks, so that no task makes all the pairs of it."""
+    shared = keys.groupBy(*on).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    busy = keys.join(shared, on)
+    x = busy.select(F.col("key").alias("a"), *on, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    y = busy.select(F.col("key").alias("b"), *on, F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
+    return x.join(y, [*on, "block"]).where("a < b").select("a", "b").distinct()
+
+
 def signature_pairs(grouped: DataFrame, threshold: float = 0.85) -> DataFrame:
     """a, b, similarity of classes at or above the threshold (compared before rounding)."""
-    keys = _banded(grouped.select("class_id", "signature"), bands_for(threshold)).select("class_id", "band", "value")
-    met = keys.alias("x").join(keys.alias("y"), ["band", "value"]).where("x.class_id < y.class_id").select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
+    met = _meetings(_banded(grouped.select(F.col("class_id").alias("key"), "signature"), bands_for(threshold)).select("key", "band", "value"), ["band", "value"])
     side = lambda n: grouped.select(F.col("class_id").alias(n), F.col("signature").alias(f"s{n}"))
     sim = fp.similarity(F.col("sa"), F.col("sb"))
     return met.join(side("a"), "a").join(side("b"), "b").withColumn("sim", sim).where(F.col("sim") >= threshold).select("a", "b", F.bround("sim", 4).alias("similarity"))

@@ -29,6 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, bytes_a_core: int = 64 << 20) -> DataFrame:
+    """``df`` for a Python stage. A scan of fewer files than cores, each of one row group at worst, would leave cores idle; where
+    it is small as well (``bytes_a_core`` a core by the plan's statistics) its rows are dealt over all cores. A larger one has splits
+    of its own, and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * bytes_a_core:
+        return df
+    return df.repartition(2 * cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recordloom import schemas
 from recordloom.operators import ask, audit, extraction, flags, graph, lifecycle, render, sections, similarity, timeline, vectors
 from recordloom.operators.components import components
-from recordloom.session import Workspace
+from recordloom.session import Workspace, spread
 
 
 def test_page_ranges_cover_all_pages(spark):
@@ -88,6 +88,49 @@ def test_merge_of_sections(spark):
     assert (r.name, r.type, r.summary, r.analysis) == ("Anna", "Person", "sum", "first\n\nsecond")
 
 
+def _sections(spark, rows):
+    return spark.createDataFrame([(sha, k, json.dumps(x) if isinstance(x, dict) else x) for sha, k, x in rows], "sha256 string, section int, raw string").select("sha256", "section", F.from_json("raw", schemas.struct("struct<" + ",".join(f"{n}:{t}" for n, t in SECTION) + ">")).alias("x")).select("sha256", "section", "x.*")
+
+
+SECTION = [("document", schemas.DOCUMENT), ("entities", f"array<{schemas.ENTITY}>"), ("morgue_entity_id", "string"), ("morgue_document_type", "string")]
+
+
+def test_sections_become_one_extraction(spark):
+    event = lambda date, event: {"date": date, "event": event}
+    role = lambda relationship, target: {"relationship": relationship, "target_id": target}
+    first = {
+        "document": {}, "morgue_entity_id": "",
+        "entities": [
+            {"id": "quay", "name": "Orla Quay", "aliases": ["OQ"], "timeline_events": [event("2031", "Opened")], "roles": [role("Owner of", "mill")]},
+            {"id": "", "name": "Nobody"}, {"id": "mill", "name": "Mill", "type": "Company", "analysis": "old"},
+        ],
+    }
+    second = {
+        "document": {"sha256": "s", "title": "T", "key_facts": [{"fact": "One"}, {"fact": "one"}, {"fact": ""}]}, "morgue_entity_id": "mill", "morgue_document_type": "deed",
+        "entities": [
+            {"id": "quay-2", "name": "ORLA  QUAY", "type": "Person", "summary": "sum", "timeline_events": [event("2031", "OPENED"), event("2032", "Opened")], "roles": [role("owner OF", "mill"), role("Owner of", "barge")]},
+            {"id": "mill", "name": "The Mill", "analysis": "new"},
+        ],
+    }
+    third = {"document": {"sha256": "s", "title": "later", "key_facts": [{"fact": "Two", "page": 3}]}, "entities": None, "morgue_document_type": "lease"}
+    got = {r.sha256: r for r in extraction.merge_sections(_sections(spark, [("s", 2, third), ("s", 0, first), ("s", 1, second), ("t", 0, {"morgue_entity_id": "x"})])).collect()}
+    r = got["s"]
+    assert (r.document.title, [f.fact for f in r.document.key_facts], r.morgue_entity_id, r.morgue_document_type) == ("T", ["One", "Two"], "mill", "deed")
+    quay, mill = r.entities
+    assert (quay.id, quay.name, quay.type, quay.summary, quay.aliases) == ("quay", "ORLA  QUAY", "Person", "sum", ["OQ", "Orla Quay"])
+    assert [(e.date, e.event) for e in quay.timeline_events] == [("2031", "Opened"), ("2032", "Opened")]
+    assert [(x.relationship, x.target_id) for x in quay.roles] == [("Owner of", "mill"), ("Owner of", "barge")]
+    assert (mill.name, mill.type, mill.analysis, mill.aliases, mill.roles) == ("The Mill", "Company", "old\n\nnew", ["Mill"], [])
+    assert (got["t"].document, got["t"].entities, got["t"].morgue_entity_id) == (None, [], "x")
+    assert extraction.merge_sections(_sections(spark, [])).count() == 0
+
+
+def test_what_cannot_be_merged(spark):
+    wanted = spark.createDataFrame([("s",), ("t",), ("u",)], "sha256 string")
+    got = extraction.section_errors(wanted, _sections(spark, [("s", 0, {"entities": []}), ("t", 0, {"entities": []}), ("t", 4, None)]))
+    assert sorted((r.sha256, r.error) for r in got.collect()) == [("t", "no JSON: section 4"), ("u", "no section")]
+
+
 def test_facts_and_aliases(spark):
     facts = spark.createDataFrame([("s", 0, "A" * 130), ("s", 1, "a" * 125), ("s", 2, ""), ("s", 3, "b")], "sha256 string, ord int, fact string")
     assert sorted(r.ord for r in extraction.dedup_facts(facts).collect()) == [0, 3]
@@ -361,3 +404,20 @@ def test_wide_documents_are_paired_in_blocks(spark):
     seen = spark.createDataFrame(rows, "id string, sha256 int")
     whole = sorted(map(tuple, graph.co_occurrence(seen).collect()))
     assert sorted(map(tuple, graph.co_occurrence(seen, block=4).collect())) == whole and len(whole) > 100
+
+
+def test_meetings_in_blocks_are_those_of_a_join(spark):
+    rng = random.Random(5)
+    held = sorted({(k, rng.choice("aaab") + rng.choice("xy")) for k in range(40) for _ in range(2)})
+    rows = spark.createDataFrame(held, "key int, value string")
+    want = sorted({(a, b) for a, v in held for b, w in held if v == w and a < b})
+    for block in (1, 7, 1000):
+        assert sorted((r.a, r.b) for r in similarity._meetings(rows, ["value"], block).collect()) == want
+
+
+def test_few_files_are_dealt_over_the_cores(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id", "cast(id as string) AS text")
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert spread(one).count() == 1000 and "Exchange" in spread(one)._jdf.queryExecution().toString()
+    assert "Exchange" not in spread(one, 0)._jdf.queryExecution().toString()
