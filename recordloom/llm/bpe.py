@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from recordloom.llm.chunks import WordTable, blocks, byte_of_char, cuts_into_words
 from recordloom.llm.rows import held, map_batches, need
+from recordloom.session import spread
 
 #: Words in each generation of a worker's table (about 300 bytes each), and compatibility answers that it remembers.
 WORD_ENTRIES, PAIR_ENTRIES = 200_000, 500_000
@@ -242,4 +243,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op6: encodes and decodes every document."""
     import public_tokenizers
 
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return digests(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), public_tokenizers.path("byte_bpe_50k.json"))

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from recordloom.llm.rows import as_bytes, held, map_batches, need, slices
+from recordloom.session import spread
 
 MIN_WORDS = 8
 #: Repetitions, and the places of a sample among the steps of a walk (about two steps to a word).
@@ -335,4 +336,4 @@ def keep(documents: DataFrame, benchmark: DataFrame, percent: int = 20) -> DataF
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: benchmark items in documents."""
-    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from recordloom.operators.components import components
 from recordloom.llm.rows import as_bytes, few, join_unique, map_batches, need
 from recordloom.llm.shingles import shingle_set
-from recordloom.session import Workspace
+from recordloom.session import Workspace, spread
 
 MINIMA, JOINED = 64, 2
 COORDINATES = MINIMA // JOINED
@@ -317,4 +317,4 @@ def keep(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: components over shingles of two words."""
-    return members(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2)
+    return members(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), width=2)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from recordloom.llm.rows import as_bytes, need, slices
-from recordloom.session import Workspace
+from recordloom.session import Workspace, spread
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 
@@ -166,18 +166,18 @@ def keep(documents: DataFrame, of: Policy = STRICT, workspace: Workspace | None
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: measurements, base verdict and the strict policy's verdict of every document."""
-    rows = stored(spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "quality"), ("doc_id",))
+    rows = stored(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), Workspace(spark, "quality"), ("doc_id",))
     measures = [F.col(f"{LEDGER}.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return rows.select("doc_id", *measures, (~passes(BASE)).alias("base_failed"), passes(STRICT).alias("kept"), F.col(f"{LEDGER}.fail_bits").alias("fail_bits"))
 
 
 def ablation_query(spark, sf_dir: str) -> DataFrame:
-    rows = stored(spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "quality"), ("doc_id",))
+    rows = stored(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), Workspace(spark, "quality"), ("doc_id",))
     return ablation(rows, STRICT)
 
 
 def report_query(spark, sf_dir: str) -> DataFrame:
-    rows = stored(spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "quality"), ("doc_id",))
+    rows = stored(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), Workspace(spark, "quality"), ("doc_id",))
     return report(rows)
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.llm.rows import as_bytes, map_batches, need
+from recordloom.session import spread
 
 #: Labelled rows to fit on, at most.
 SAMPLE = 4000
@@ -164,6 +165,6 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: scores of every document."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     model = fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(documents, model).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.rows import need
-from recordloom.session import Workspace
+from recordloom.session import Workspace, spread
 
 TREES, DEPTH, SEED = 24, 8, 5
 THRESHOLD = 0.5
@@ -258,4 +258,4 @@ def default_model(spark: SparkSession) -> Model:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: findings in every document."""
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_model(spark))
+    return scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), default_model(spark))
