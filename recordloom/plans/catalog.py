@@ -13,7 +13,7 @@ from recordloom.functions import text as tx
 from recordloom.operators import ask, audit, extraction, flags, graph, ingest, lifecycle, render, sections, similarity, timeline, vectors
 from recordloom.plans import world as w
 from recordloom.plans.registry import ORACLE_SQL, QUERIES, query
-from recordloom.session import Workspace, spread, table
+from recordloom.session import Workspace, table
 from recordloom.streaming import watch
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -64,9 +64,7 @@ hit AS (SELECT x.key AS a, y.key AS b, count(*) AS common, any_value(x.n + y.n)
 SELECT a, b, common::INT AS common, (total - common)::INT AS either FROM hit WHERE 100 * common >= 85 * (total - common)""",
 )
 def shingle_jaccard_pairs(spark, d):
-    items = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", fp.shingles_udf("text").alias("items")).where("size(items) > 0")
-    sets = Workspace(spark, "shingles").keep(items.groupBy("items").agg(F.min("doc_id").alias("key")), "sets")
-    return similarity.jaccard_pairs(sets)
+    return similarity.shingle_pairs(table(spark, d, "documents"))
 
 
 @query("exact_dup_groups", "SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")

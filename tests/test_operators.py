@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom import schemas
+from recordloom.functions import fingerprint as fp
 from recordloom.operators import ask, audit, extraction, flags, graph, lifecycle, render, sections, similarity, timeline, vectors
 from recordloom.operators.components import components
+from recordloom.plans import catalog
 from recordloom.session import Workspace, spread
 
 
@@ -421,3 +423,72 @@ def test_few_files_are_dealt_over_the_cores(spark, tmp_path):
     one = spark.read.parquet(str(tmp_path / "one"))
     assert spread(one).count() == 1000 and "Exchange" in spread(one)._jdf.queryExecution().toString()
     assert "Exchange" not in spread(one, 0)._jdf.queryExecution().toString()
+
+
+def _alike_texts():
+    """Texts of 1 to 700 words and copies with few words changed, so that many pairs lie just above and just below the threshold."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
+    texts = ["", "...", "one", "one two", "One, TWO!", "one two three", "a_b é one two"]
+    for n in [*range(3, 40), 75, 160, 330, 700]:
+        base = [word() for _ in range(n)]
+        for edits in range(max(2, n // 18)):
+            varied = list(base)
+            for at in rng.sample(range(n), min(edits, n)):
+                varied[at] = word()
+            texts.append(" ".join(varied))
+        texts += [" ".join(base + [word() for _ in range(more)]) for more in range(1, n // 4, 1 + n // 40)]
+    passage = [word() for _ in range(60)]
+    texts += [" ".join(passage + [word() for _ in range(k % 50)]) for k in range(80)]
+    return [*enumerate(texts), (9000, texts[-1]), (9001, None), (None, texts[-1])]
+
+
+def _alike(texts, percent):
+    first = {}
+    for key, text in texts:
+        words = fp.tokenize(text or "")
+        if words and key is not None:
+            items = frozenset(fp.shingles(words))
+            first[items] = min(key, first.get(items, key))
+    sets, out = sorted((key, items) for items, key in first.items()), []
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[k + 1 :]:
+            if 100 * len(x & y) >= percent * len(x | y):
+                out.append((a, b, len(x & y), len(x | y)))
+    return sorted(out)
+
+
+def test_shingle_pairs_lose_no_pair_at_any_size(spark, monkeypatch):
+    texts = _alike_texts()
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for percent, most in ((85, 500), (85, 8), (60, 500), (95, 500)):
+        monkeypatch.setattr(similarity, "LIST_BLOCK", most)
+        monkeypatch.setattr(similarity, "SET_BLOCK", most)
+        monkeypatch.setattr(similarity, "BROADCAST_NARROW", most)
+        want = _alike(texts, percent)
+        assert len(want) > 50 and sorted(map(tuple, similarity.shingle_pairs(docs, percent).collect())) == want
+
+
+def test_sets_so_alike_share_a_part():
+    rng = np.random.default_rng(3)
+    for percent in (60, 85, 95):
+        for n in (7, 20, 34, 100, 455, 3000, 20_000):
+            for _ in range(10):
+                drop = rng.integers(0, n * (100 - percent) // 100 + 1)
+                most = (n - drop) * 100 // percent - n  # the two sets are then just so alike
+                a = np.unique(rng.integers(0, 1 << 63, n, np.uint64, endpoint=True))
+                b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, max(0, most), np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= percent * (len(a) + len(b) - both) and len(a) + len(b) > 2 * both:
+                    level = min(np.searchsorted(similarity._sizes(percent), len(x), "right") - 1 for x in (a, b))
+                    assert len(np.intersect1d(*(similarity._parts(x, int(level), percent) for x in (a, b))))
+
+
+def test_shingles_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.randrange(5000)) for _ in range(400)) for _ in range(300)]
+    spark.createDataFrame([*enumerate(texts), *((1000 + k, f"{texts[k]} more") for k in range(30))], "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert catalog.QUERIES["shingle_jaccard_pairs"](spark, str(tmp_path)).count() == 30
+    assert written() - before < 3 * sum(map(len, texts))
